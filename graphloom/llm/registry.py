@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from graphloom.llm.decontaminate import op1_decontaminate
+from graphloom.llm.html_extract import op2_html_extract
 from graphloom.llm.langid import op4_language_id
 from graphloom.llm.line_dedup import OP8_SQL, op8_line_dedup
 from graphloom.llm.media import op3_media_columns
 from graphloom.llm.mixing import op10_mix_sources
+from graphloom.llm.near_dup import op7_near_duplicates
 from graphloom.llm.toxicity import op6_toxicity
 from graphloom.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_extract": op2_html_extract,
     "op3_media_columns": op3_media_columns,
     "op4_language_id": op4_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_mix_sources": op10_mix_sources,
