@@ -9,6 +9,7 @@ from graphloom.llm.line_dedup import OP8_SQL, op8_line_dedup
 from graphloom.llm.media import op3_media_columns
 from graphloom.llm.mixing import op10_mix_sources
 from graphloom.llm.near_dup import op7_near_duplicates
+from graphloom.llm.pii import op5_personal_data
 from graphloom.llm.toxicity import op6_toxicity
 from graphloom.llm.url_filter import OP9_SQL, op9_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_html_extract": op2_html_extract,
     "op3_media_columns": op3_media_columns,
     "op4_language_id": op4_language_id,
+    "op5_personal_data": op5_personal_data,
     "op6_toxicity": op6_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_line_dedup": op8_line_dedup,
