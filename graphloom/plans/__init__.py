@@ -1,4 +1,6 @@
-"""Named queries, each with the SQL that gives the same rows."""
+"""Named queries over the test tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from graphloom.plans import graph_queries, loyalty_queries, score_queries, table_queries  # noqa: F401
+from graphloom.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
