@@ -34,7 +34,8 @@ from graphloom.llm.langid import remainder
 
 BUCKETS = 1 << 20
 SAMPLE = 40_000
-PRIOR = 20_000.0
+#: The prior's mass as a share of all counts.
+PRIOR = 0.05
 SIGNIFICANT = 4.0
 DRIFT = 0.25
 MOST = 8.0
@@ -62,9 +63,10 @@ def _document_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], ["bucket", "other", "toxic"])
 
 
-def token_scores(other: np.ndarray, toxic: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+def token_scores(other: np.ndarray, toxic: np.ndarray, share: float = PRIOR) -> np.ndarray:
     """Significant log-odds of each bucket, less the drift."""
     n0, n1, both = other.sum(), toxic.sum(), other + toxic
+    prior = share * (n0 + n1)
     alpha = prior * both / max(n0 + n1, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         odds = np.log((toxic + alpha) / (n1 + prior - toxic - alpha)) - np.log((other + alpha) / (n0 + prior - other - alpha))
