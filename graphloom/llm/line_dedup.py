@@ -34,6 +34,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 SEGMENT_BITS = 1 << 16
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: A task packs the filters of so many hashes at once, which bounds its memory.
+FLUSH_HASHES = 1 << 20
 
 
 class _Lines:
@@ -85,24 +87,36 @@ def _probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return segment + (hashes & bt.U64(0xFFFF)), segment + (hashes >> bt.U64(16) & bt.U64(0xFFFF))
 
 
-def _mark(bits: int, min_chars: int):
-    """The segments of a partition's two filters that have bits set."""
+def _mark(bits: int, min_chars: int, flush: int = FLUSH_HASHES):
+    """The segments of a partition's two filters that have bits set; of a large partition those of each ``flush`` hashes."""
+
+    def packed(places: np.ndarray, segment: int) -> bytes:
+        own = np.zeros(SEGMENT_BITS, dtype=bool)
+        own[places - segment * SEGMENT_BITS] = True
+        return zlib.compress(np.packbits(own).tobytes(), 1)
+
+    def emit(held: list[np.ndarray]):
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        once = np.sort(np.concatenate(_probes(values, bits)).astype(np.int64))
+        twice = np.sort(np.concatenate(_probes(values[counts > 1], bits)).astype(np.int64))
+        segments = np.unique(once // SEGMENT_BITS)
+        edges = [np.searchsorted(x, np.append(segments, segments[-1] + 1) * SEGMENT_BITS) for x in (once, twice)] if len(segments) else None
+        ends = [np.searchsorted(x, (segments + 1) * SEGMENT_BITS) for x in (once, twice)]
+        for k in range(0, len(segments), 64):
+            part = range(k, min(k + 64, len(segments)))
+            cols = [[packed(x[edges[f][i] : ends[f][i]], int(segments[i])) for i in part] for f, x in enumerate((once, twice))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(segments[i]) for i in part], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["segment", "once", "twice"])
 
     def run(batches):
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        held, size = [], 0
         for _, data, offs in sliced(batches, 0):
-            _, hashes, _ = _Lines(data, offs, min_chars).distinct()
-            values, counts = np.unique(hashes, return_counts=True)
-            p, q = _probes(values, bits)
-            seen = (once[p] & once[q]) | (counts > 1)
-            for x in (p, q):
-                twice[x[seen]] = True
-                once[x] = True
-        ids = np.flatnonzero(once.reshape(-1, SEGMENT_BITS).any(axis=1))
-        for k in range(0, len(ids), 64):
-            part = ids[k : k + 64]
-            packed = [[zlib.compress(np.packbits(f[i * SEGMENT_BITS : (i + 1) * SEGMENT_BITS]).tobytes(), 1) for i in part.tolist()] for f in (once, twice)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["segment", "once", "twice"])
+            held.append(_Lines(data, offs, min_chars).distinct()[1])
+            size += len(held[-1])
+            if size > flush:
+                yield from emit(held)
+                held, size = [], 0
+        if size:
+            yield from emit(held)
 
     return run
 
