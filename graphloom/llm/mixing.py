@@ -146,10 +146,11 @@ class Mix:
     def pieces(self) -> DataFrame:
         """The mix: for each slot the words it takes of each document (``from_word`` of the document, ``taken`` words)."""
         b = F.lit(self.block).cast("long")
-        cut = self.documents.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
+        cut = self.documents.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {self.block}L, (start + size - 1) div {self.block}L)")))
         begin, end = F.greatest("start", F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
         cut = cut.select(F.col("sidx").alias("of"), F.col("block").alias("number"), "id", "source", "start", begin.alias("begin"), end.alias("end"))
-        both = self.slots.join(cut, (F.col("sidx") == F.col("of")) & (F.col("block") == F.col("number")))
+        # a merge join always: the slots grow with the data, which their plan does not show
+        both = self.slots.hint("merge").join(cut, (F.col("sidx") == F.col("of")) & (F.col("block") == F.col("number")))
         taken = F.least("end", F.col("block") * b + F.col("words")) - F.col("begin")
         return both.select("shard", "position", "epoch", "sidx", "source", "block", "id", "start", (F.col("begin") - F.col("start")).alias("from_word"), taken.alias("taken")).where("taken > 0")
 
