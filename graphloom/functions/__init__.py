@@ -69,6 +69,16 @@ def months_between_floor(late: Column, early: Column) -> Column:
     return F.greatest(F.lit(0), (F.year(late) - F.year(early)) * 12 + F.month(late) - F.month(early))
 
 
+def age_years(born: Column, today: Column) -> Column:
+    """Whole years: a year less before the birthday."""
+    return F.floor(F.months_between(today, born) / 12).cast("int")
+
+
+def shift_day(day: Column, by: Column | int) -> Column:
+    """A day as yyyy-MM-dd text, some days on."""
+    return F.date_format(F.date_add(F.to_date(day), F.lit(by) if isinstance(by, int) else by), "yyyy-MM-dd")
+
+
 def email_of(name: Column, domain: str) -> Column:
     local = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "'", ""), ", ", "."), " ", ".")
     return F.concat(local, F.lit("@" + domain))

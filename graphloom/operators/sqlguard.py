@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,29 @@ class Tracker:
         return None
 
 
+def rows_in_time(df: DataFrame, seconds: float = 25.0) -> list[dict]:
+    """The rows of a short result; its jobs are cancelled if they take longer."""
+    sc, group = df.sparkSession.sparkContext, f"guard-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    sc.setJobGroup(group, "guarded query", interruptOnCancel=True)
+    timer.start()
+    try:
+        return [r.asDict(recursive=True) for r in df.collect()]
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the query took longer than {seconds:g} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 class Databases:
     """Logical databases: each has named tables, and queries see those of one."""
 

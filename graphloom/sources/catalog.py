@@ -20,6 +20,13 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
     return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
+def read_csv_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The CSV, or None if there is no such file, wherever Spark would read it from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return read_csv(spark, path) if there else None
+
+
 def _field(df: DataFrame, *names: str):
     """The first of the columns that the file has, whatever its case, blanks and underscores; null if none."""
     have = {c.lower().replace(" ", "").replace("_", ""): c for c in df.columns}

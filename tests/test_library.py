@@ -336,3 +336,38 @@ def test_event_stream(spark, data, tmp_path):
     q.awaitTermination(120)
     got, want = spark.read.parquet(str(tmp_path / "out")), windowed_counts(events)
     assert 0 < got.count() <= want.count() and got.select("start", "event_type", "n").subtract(want.select("start", "event_type", "n")).count() == 0
+
+
+def test_command_line(graph, golden):
+    from graphloom import cli
+
+    assert cli.run(graph, "path", ["t2", "Crew"])[-1]["to_id"] == "bc" and "search" in cli.run(graph, "help", []) and cli.run(graph, "trace", ["t1"]).startswith("trace")
+    assert cli.run(graph, "sql", ["SELECT count(*) AS n FROM vertices"]) == [{"n": 8}]
+    assert "no data" in cli.render_score(scoring.score_one(golden, "golden").first().asDict())
+
+
+def test_guarded_rows(spark):
+    assert sqlguard.rows_in_time(spark.range(2)) == [{"id": 0}, {"id": 1}]
+    with pytest.raises(TimeoutError):
+        sqlguard.rows_in_time(spark.range(0, 1 << 40, 1, 8).agg(F.sum(F.expr("sin(id)"))), 1.0)
+
+
+def test_members(spark, tmp_path):
+    from graphloom.sources import loyalty as members
+
+    doc = {"ffn_id": "F1", "full_name": "A", "tier": {"tier_name": "top"}, "bookings": [{"booking_id": "B1", "fare_type": "X", "segments": [{"segment_id": "S1", "flight_date": "2026-01-01", "origin": "del", "destination": "bom", "is_international": False, "addons": ["a", "b"]}]}], "transactions": [{"transaction_id": "T", "partner_id": "P"}]}
+    (tmp_path / "m.json").write_text(json.dumps(doc))
+    t = members.normalise_members(members.read_members(spark, str(tmp_path)))
+    assert t["route"].first().route_id == "DEL_BOM" and t["segment_addon"].count() == 2 and t["member_route"].first().trip_count == 1 and t["member_tier"].first().tier_name == "top"
+    assert members.static_table(spark, "addon", [{"addon_id": "a", "addon_type": "SEAT"}]).first().category is None
+    assert catalog.read_csv_if_there(spark, str(tmp_path / "none.csv")) is None
+
+
+def test_days_and_log(spark, tmp_path):
+    from graphloom.log import logger
+
+    r = spark.range(1).select(fn.shift_day(F.lit("2026-02-27"), 2).alias("d"), fn.age_years(F.lit("2000-03-01").cast("date"), F.lit("2026-02-28").cast("date")).alias("a"), fn.months_between_floor(F.lit("2026-01-01").cast("date"), F.lit("2025-12-31").cast("date")).alias("m")).first()
+    assert (r.d, r.a, r.m) == ("2026-03-01", 25, 1)
+    logger("x", str(tmp_path / "l")).info("hi", extra={"data": {"k": 1}})
+    logger("x", str(tmp_path / "l"))
+    assert json.loads((tmp_path / "l").read_text())["k"] == 1
