@@ -104,7 +104,7 @@ def page(body: str) -> str:
 
 def test_blocks_of_an_article():
     made = page("<nav>menu</nav><!-- <p>no</p> --><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one <b>two\n</b><br>three<p>four<section class='comments'><p>me too</p></section><form>f</form></article><aside>s</aside><footer>&copy;</footer>")
-    assert html_extract.main_texts([(1, html_extract.blocks(made))]) == ["A & B\none two three\nfour"]
+    assert html_extract.main_texts([(1, html_extract.blocks(made))]) == [("A & B\none two three\nfour", 0)]
     assert html_extract.blocks("") == [] and html_extract.blocks("<p>a < b") == [("a < b", False, False)]
 
 
