@@ -32,7 +32,8 @@ from graphloom.llm.common import materialize, table
 BLOCK = 256
 SHARD_SLOTS = 4096
 MOST_SHARDS = 4096
-CHUNK_DOCS = 20_000
+#: A chunk has about 4 sqrt(documents), so chunks are as many as their size allows to add up in one window.
+LEAST_CHUNK_DOCS = 1_000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CEILING = 2.0
@@ -121,7 +122,8 @@ class Mix:
         sizes = [r["size"] for r in found]
         targets = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
         self.sources = [(i, r["source"], r["size"], t) for i, (r, t) in enumerate(zip(found, targets, strict=True))]
-        chunks = max(1, -(-sum(r["docs"] for r in found) // CHUNK_DOCS))
+        docs_in_all = sum(r["docs"] for r in found)
+        chunks = max(1, -(-docs_in_all // max(LEAST_CHUNK_DOCS, 4 * math.isqrt(docs_in_all))))
         frame = spark.createDataFrame(self.sources, T.StructType([T.StructField("sidx", T.LongType()), T.StructField("named", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
         placed = base.join(frame, F.col("source").eqNullSafe(F.col("named"))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
         order = Window.partitionBy("sidx", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
