@@ -31,6 +31,8 @@ from graphloom.llm.common import materialize, table
 
 BLOCK = 256
 SHARD_SLOTS = 4096
+#: A task makes about so many slots.
+TASK_SLOTS = 50_000
 MOST_SHARDS = 4096
 #: A chunk has about 4 sqrt(documents), so chunks are as many as their size allows to add up in one window.
 LEAST_CHUNK_DOCS = 1_000
@@ -143,7 +145,9 @@ class Mix:
             rows += [(i, n, full, blocks, slots, last, s, int(first[s]), int(drawn[s])) for s in np.flatnonzero(drawn).tolist()]
         names = ("sidx", "size", "full", "blocks", "slots", "last", "shard", "first", "n")
         drawn_rows = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
-        self.slots = drawn_rows.repartition("sidx", "shard").mapInArrow(_slots(block, seed), "sidx long, shard long, position long, epoch long, block long, words long")
+        # a fixed number: the rows are few, and adaptive execution would make one task of them
+        tasks = min(MOST_SHARDS, max(1, -(-sum(p[4] for p in plans) // TASK_SLOTS)))
+        self.slots = drawn_rows.repartition(tasks, "sidx", "shard").mapInArrow(_slots(block, seed), "sidx long, shard long, position long, epoch long, block long, words long")
 
     def pieces(self) -> DataFrame:
         """The mix: for each slot the words it takes of each document (``from_word`` of the document, ``taken`` words)."""
