@@ -27,7 +27,8 @@ from graphloom.llm import bytetext as bt
 from graphloom.llm.common import fresh, list_array, materialize, sliced, table
 
 WINDOW = 10
-PART_WINDOWS = 2_000_000
+#: Windows in one broadcast: some 200 MB in a worker.
+PART_WINDOWS = 400_000
 
 Window = tuple[int, int, bytes, str]  # hash, words, normalised text, item
 

@@ -201,14 +201,15 @@ def _drop(keep: list[str], text: str, min_chars: int, names: tuple[str, str, str
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None) -> DataFrame:
     """``docs`` with repeated lines dropped from their text, and two more columns: lines before, and lines dropped."""
     names = fresh(docs, "n_lines"), fresh(docs, "n_dropped"), fresh(docs, "_gone")
+    losing_id = fresh(docs, "_losing_id")
     held, bits = twice_seen(docs, text_col, min_chars, bits)
     kind = docs.schema[id_col].dataType.simpleString()
     suspects = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_suspects(held, bits, min_chars), f"id {kind}, hash long, key binary"), "line-suspects")
     repeated = suspects.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("first_id")).where(F.col("n") >= min_docs)
     repeated = materialize(repeated.select(F.col("key").alias("repeated_key"), "first_id"), "line-repeats")
     losing = suspects.join(repeated, F.col("key") == F.col("repeated_key")).where(~F.col("id").eqNullSafe(F.col("first_id")))
-    lost = losing.groupBy(F.col("id").alias("_losing_id")).agg(F.collect_set("hash").alias(names[2]))
-    joined = docs.join(lost.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_losing_id")), "left").drop("_losing_id")
+    lost = losing.groupBy(F.col("id").alias(losing_id)).agg(F.collect_set("hash").alias(names[2]))
+    joined = docs.join(lost.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(losing_id)), "left").drop(losing_id)
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_drop(docs.columns, text_col, min_chars, names), f"{plain}, `{names[0]}` long, `{names[1]}` long")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytetext as bt
-from graphloom.llm.common import grouped, materialize, sliced, table
+from graphloom.llm.common import fresh, grouped, materialize, sliced, table
 from graphloom.llm.components import components
 
 SHINGLE = 5
@@ -306,8 +306,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with the least id of each class only; rows without an id stay, and rows of one id that stays do."""
     found = Join(docs, id_col=id_col, text_col=text_col).result()
     kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("_kept"))
-    gone = found.where(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone")).join(kept, F.col("_gone") == F.col("_kept"), "left_anti").distinct()
-    out = docs.join(materialize(gone, "near-gone").hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = found.where(F.col("id") != F.col("class_id")).select(F.col("id").alias(name)).join(kept, F.col(name) == F.col("_kept"), "left_anti").distinct()
+    out = docs.join(materialize(gone, "near-gone").hint("shuffle_hash"), docs[id_col] == F.col(name), "left_anti")
     repeated = found.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])
 

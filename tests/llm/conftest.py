@@ -8,10 +8,10 @@ TEXTS = [None, "", " \n\t ", "123 456", "One two three four five six seven.", "o
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
-    rows = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else "s", 0, "extra", 1) for i, t in enumerate(TEXTS)]
-    rows += [(3, "123 456", "en", "s", 0, "extra", 1), (None, "no id here at all today", None, None, None, None, None), (None, None, None, None, None, None, None)]
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else "s", 0, "extra", 1, 2, 3) for i, t in enumerate(TEXTS)]
+    rows += [(3, "123 456", "en", "s", 0, "extra", 1, 2, 3), (None, "no id here at all today", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
     # the extra columns have names that operators use inside
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, hash string, n_lines int")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, hash string, n_lines int, _gone int, _losing_id int")
 
 
 @pytest.fixture(scope="session")

@@ -492,3 +492,33 @@ def test_mix_pieces_are_whole_blocks(spark, data):
     for r in mix.pieces().collect():
         pieces[r.sidx, r.epoch, r.block] += r.taken
     assert pieces == Counter(slots) and len({r.shard for r in mix.slots.collect()}) > 1
+
+
+# -- odd and empty tables
+
+
+def test_empty_tables(spark, no_docs, pii_model):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for df in (decontaminate.report(no_docs, bench), decontaminate.remove(no_docs, bench), decontaminate.remove(no_docs, bench, how="spans"), html_extract.extract(pages), media.text_media(no_docs), pii.find(no_docs, pii_model), pii.redact(no_docs, pii_model), url_filter.judge(pages)):
+        assert df.count() == 0
+
+
+def test_odd_pages(spark):
+    long = "<article>" + "<p>one two</p>" * 20_000 + "</article>"
+    rows = [(None, None, None, "x", 1), (None, "http://a.net/es/", "<p>hi", "x", 1), (1, "", "", None, None), (2, "http://a.net", long, "x", 1), (2, "http://a.net", long, "x", 1), (3, "http://h.net", "<div>" * 3000 + "deep", None, None), (4, "http://h.net", "<a href='x" + "<p>" * 50 + "never closed", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, text int")
+    out = html_extract.extract(pages).collect()
+    assert len(out) == len(rows) and sorted(r.n_chars for r in out)[-2:] == [20_000 * 8 - 1] * 2
+    assert {r.text for r in out if r.page_id is None} == {"", "hi"} and [r.text for r in out if r.page_id == 3] == ["deep"]
+    judged = url_filter.judge(pages).collect()
+    assert len(judged) == len(rows) and {r.verdict for r in judged if r.page_id is None} == {"allow", "block"}
+
+
+def test_operators_take_odd_rows(spark, odd_docs, pii_model):
+    bench = spark.createDataFrame([(None, "no id here"), (1, None), (2, ""), (2, "word " * 12)], "item_id long, text string")
+    got = decontaminate.report(odd_docs, bench).collect()
+    assert len(got) == odd_docs.count() and {tuple(r["items"]) for r in got if r.contaminated} == {("",), ("2",)}
+    assert [r.n_hit for r in got if r.n_hit > 3] == [30_000]
+    assert pii.find(odd_docs, pii_model).where("size(spans) > 0").count() == 0
+    assert pii.redact(odd_docs, pii_model).where("doc_id = 4").first().text.startswith("One two")

@@ -56,3 +56,14 @@ def test_queries_with_sql(spark, data):
 def test_every_operator_is_registered():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
     assert langid.remainder is not None and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows_go_through(spark, odd_docs, data):
+    docs, counts = odd_docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, data), f"odd-{name}")
+        counts.append(docs.count())
+        if name != "source_mixing":
+            assert docs.columns == odd_docs.columns
+    # what has no letter goes, then the copy of document 4; a row without an id stays
+    assert counts[0] == counts[1] and counts[2] == counts[1] - 1 == counts[3] == counts[4]
