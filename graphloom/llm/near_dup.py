@@ -316,3 +316,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and links of all ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle is counted, and components are walked: for small tables.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM d WHERE len(ws) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y, shared = nx.n AND shared = ny.n AS same FROM i JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * shared >= 4 * (nx.n + ny.n - shared)),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other),
+c AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id),
+l AS (SELECT x, count(*) AS n_links, min(y) FILTER (same) AS copy FROM e GROUP BY x)
+SELECT c.doc_id, c.class_id, least(c.doc_id, coalesce(l.copy, c.doc_id)) AS copy_id, coalesce(l.n_links, 0) AS n_links FROM c LEFT JOIN l ON l.x = c.doc_id
+"""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm.decontaminate import op1_decontaminate
+from graphloom.llm.decontaminate import OP1_SQL, op1_decontaminate
 from graphloom.llm.html_extract import op2_html_extract
 from graphloom.llm.langid import op4_language_id
 from graphloom.llm.line_dedup import OP8_SQL, op8_line_dedup
 from graphloom.llm.media import op3_media_columns
 from graphloom.llm.mixing import op10_mix_sources
-from graphloom.llm.near_dup import op7_near_duplicates
+from graphloom.llm.near_dup import OP7_SQL, op7_near_duplicates
 from graphloom.llm.pii import op5_personal_data
 from graphloom.llm.toxicity import op6_toxicity
 from graphloom.llm.url_filter import OP9_SQL, op9_url_filter
@@ -27,6 +27,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_decontaminate": OP1_SQL,
+    "op7_near_duplicates": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
