@@ -166,20 +166,17 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE
     """Boosted trees of depth two for the logistic loss: the prior, and (feature, cut, (side, side)) trees whose sides are (feature, cut, low, high)."""
     prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     margin, trees = np.full(len(y), prior), []
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 25), method="nearest")) for f in range(x.shape[1])]
-
-    def best(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, float]:
-        top = (-1.0, 0, float(x[:, 0].max()))
-        for f in range(x.shape[1]):
-            for c in cuts[f]:
-                low = rows & (x[:, f] <= c)
-                high = rows & ~low
-                if low.sum() < LEAVES_MIN or high.sum() < LEAVES_MIN:
-                    continue
-                gain = g[low].sum() ** 2 / (h[low].sum() + 1) + g[high].sum() ** 2 / (h[high].sum() + 1)
-                if gain > top[0] + 1e-12:
-                    top = (gain, f, float(c))
-        return top
+    cuts = [(f, float(c)) for f in range(x.shape[1]) for c in np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 25), method="nearest"))]
+    below = np.stack([x[:, f] <= c for f, c in cuts], axis=1).astype(np.float64)
+
+    def best(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
+        """The cut of the rows with the largest gain; one that keeps all rows together if none may be made."""
+        low_n, low_g, low_h = (np.where(rows, v, 0.0) @ below for v in (np.ones(len(rows)), g, h))
+        all_n, all_g, all_h = rows.sum(), g[rows].sum(), h[rows].sum()
+        gain = low_g**2 / (low_h + 1) + (all_g - low_g) ** 2 / (all_h - low_h + 1)
+        gain[(low_n < LEAVES_MIN) | (all_n - low_n < LEAVES_MIN)] = -1.0
+        k = int(gain.argmax())
+        return cuts[k] if gain[k] > 0 else (0, float(x[:, 0].max()))
 
     def leaf(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> float:
         return round(float(rate * g[rows].sum() / (h[rows].sum() + 1)), 6) if rows.any() else 0.0
@@ -187,10 +184,10 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         g, h = y - p, p * (1 - p)
-        _, f, c = best(np.ones(len(y), dtype=bool), g, h)
+        f, c = best(np.ones(len(y), dtype=bool), g, h)
         sides = []
         for side in (x[:, f] <= c, x[:, f] > c):
-            _, f2, c2 = best(side, g, h)
+            f2, c2 = best(side, g, h)
             low, high = side & (x[:, f2] <= c2), side & (x[:, f2] > c2)
             sides.append((f2, c2, leaf(low, g, h), leaf(high, g, h)))
             margin[low] += sides[-1][2]
