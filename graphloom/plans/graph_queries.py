@@ -273,3 +273,35 @@ def q66(t):
     from graphloom.sources.store import purge
 
     return purge(_graph(t), "stream").edges.select("src", "relationship", "dst")
+
+
+@query("q70_counts_by_database", "SELECT database, label, count(*) AS n FROM {catalog} GROUP BY database, label")
+def q70(t):
+    return _graph(t).counts_by_database()
+
+
+@query("q71_graph_sql", "SELECT s.database, e.relationship, count(*) AS n FROM {links} e JOIN {catalog} s ON e.src = s.id GROUP BY ALL")
+def q71(t):
+    return _graph(t).query(t.spark, "WITH e AS (SELECT src, relationship FROM edges) SELECT v.database, e.relationship, count(*) AS n FROM e JOIN vertices v ON e.src = v.id GROUP BY v.database, e.relationship")
+
+
+@query("q72_induced_edges", "SELECT DISTINCT src, dst, relationship FROM {links} WHERE src IN (SELECT id FROM {catalog} WHERE database = 'core') AND dst IN (SELECT id FROM {catalog} WHERE database = 'core')")
+def q72(t):
+    from graphloom.operators.hints import induced_edges
+
+    return induced_edges(t.catalog.where("database = 'core'").select("id"), t.links).select("src", "dst", "relationship")
+
+
+@query("q73_endpoint_vertices", "SELECT x.id, coalesce(c.label, 'unknown') AS label, c.name FROM (SELECT src AS id FROM {links} UNION SELECT dst FROM {links}) x LEFT JOIN (SELECT * FROM {catalog} WHERE label = 'Table') c ON c.id = x.id")
+def q73(t):
+    from graphloom.operators.hints import endpoint_vertices
+
+    return endpoint_vertices(t.links, t.catalog.where("label = 'Table'"), None).select("id", "label", "name")
+
+
+@query("q74_concepts_from_columns", "SELECT database || '__concept__' || col AS id, database, string_agg(DISTINCT name, ',' ORDER BY name) AS source_tables FROM (SELECT database, name, unnest(string_split(columns_csv, ',')) AS col FROM {catalog} WHERE label = 'Table') x GROUP BY database, col HAVING count(DISTINCT name) >= 2")
+def q74(t):
+    from graphloom.operators.builder import concept_nodes
+
+    tables = t.catalog.where("label = 'Table'").select("database", F.col("name").alias("table_name"), _listed("columns_csv").alias("columns"))
+    return concept_nodes(tables).select("id", "database", F.array_join("source_tables", ",").alias("source_tables"))

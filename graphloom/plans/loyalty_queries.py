@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.loyalty import Loyalty, assign_tier, fare_usage, flyer_frequency, preferred_routes, spending_segment
+from graphloom.operators.loyalty import Loyalty, assign_tier, fare_usage, flyer_frequency, points_earned, preferred_routes, spending_segment
 from graphloom.plans.registry import Tables, query
 
 ROUTE = ("NATION_1", "NATION_7")
@@ -186,3 +186,24 @@ def q62(t):
     from graphloom.functions import day_class
 
     return t.booking.groupBy(day_class(F.col("booking_date")).alias("day_class")).agg(F.count("*").alias("n"))
+
+
+@query("q76_tier_assignment", "SELECT tier_name, count(*) AS n FROM {member_tier} GROUP BY tier_name")
+def q76(t):
+    return _g(t).t["member_tier"].groupBy("tier_name").agg(F.count("*").alias("n"))
+
+
+@query("q77_fare_usage_all", f"WITH {_MF} SELECT ffn_id, fare_name, usage_count, pct_of_bookings FROM mf")
+def q77(t):
+    return fare_usage(t.booking).select("ffn_id", "fare_name", "usage_count", "pct_of_bookings")
+
+
+@query("q78_preferred_routes_all", f"WITH {_MR} SELECT ffn_id, route_id, trip_count, last_flown::VARCHAR AS last_flown FROM mr")
+def q78(t):
+    return preferred_routes(t.segment).select("ffn_id", "route_id", "trip_count", _day("last_flown"))
+
+
+@query("q79_points_earned", "SELECT ffn_id, sum(CAST(floor(spend_amount::DOUBLE / 100 * 2) AS BIGINT))::BIGINT AS points FROM {partner_txn} GROUP BY ffn_id")
+def q79(t):
+    each = points_earned(F.col("spend_amount").cast("double"), F.lit(100), F.lit(2))
+    return t.partner_txn.groupBy("ffn_id").agg(F.sum(each).alias("points"))

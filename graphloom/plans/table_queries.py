@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import safe_date, safe_float, safe_int
-from graphloom.operators.profile import top_values, wide_union
+from graphloom.operators.profile import describe, top_values, wide_union
 from graphloom.operators.sqlguard import Databases
 from graphloom.operators.synth import numbered
 from graphloom.plans.registry import query
@@ -88,3 +88,12 @@ def q69(t):
 
     rows = t.nation.select(F.col("n_name").alias("table_name"), F.concat(F.lit("Region(r_regionkey), "), F.col("n_name"), F.lit("(a, b)")).alias("relationship_text"))
     return relationship_edges(rows).select("src_table", "dst_table", F.array_join("dst_columns", ",").alias("dst_columns"))
+
+
+def _described(c: str) -> str:
+    return f"SELECT '{c}' AS column_name, count({c}) AS n, count(*) - count({c}) AS nulls, round(avg({c}), 6) AS mean, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most FROM {{lineitem}}"
+
+
+@query("q75_describe", " UNION ALL ".join(map(_described, ("l_quantity", "l_discount", "l_linenumber"))))
+def q75(t):
+    return describe(t.lineitem, ["l_quantity", "l_discount", "l_linenumber"]).withColumn("mean", F.round("mean", 6))

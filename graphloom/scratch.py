@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
@@ -27,5 +32,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside, in order."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not paths]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -371,3 +371,16 @@ def test_days_and_log(spark, tmp_path):
     logger("x", str(tmp_path / "l")).info("hi", extra={"data": {"k": 1}})
     logger("x", str(tmp_path / "l"))
     assert json.loads((tmp_path / "l").read_text())["k"] == 1
+
+
+def test_scratch_tables(spark):
+    from graphloom.scratch import materialize, remove, shared_dir, tables_made
+
+    with tables_made() as made:
+        df = materialize(spark.range(3), "t")
+    assert df.count() == 3 and len(made) == 1 and made[0].startswith(shared_dir(spark))
+    materialize(spark.range(1), "t")
+    assert len(made) == 1
+    remove(spark, made)
+    with pytest.raises(Exception, match="(?i)not exist|FAILED_READ|No such"):
+        spark.read.parquet(made[0]).count()
