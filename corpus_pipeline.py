@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, langid, line_dedup, mixing, near_dup
 from graphloom.llm.common import materialize, table
+from graphloom.scratch import remove, tables_made
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with tables_made() as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # a stage's own tables, and its input, aren't read again
+        remove(spark, last + made[:-1])
+        last = made[-1:]
     return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import bytetext as bt
 from graphloom.scratch import materialize, shared_dir
 
-__all__ = ["arrow_schema", "fresh", "grouped", "list_array", "materialize", "shared_dir", "sliced", "table"]
+__all__ = ["fresh", "grouped", "list_array", "materialize", "shared_dir", "sliced", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,15 +65,3 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     if rest:
         t = pa.Table.from_batches(rest).combine_chunks()
         yield t, cut(t)
-
-
-def arrow_schema(spark_ddl: str) -> pa.Schema:
-    """The Arrow schema of a DDL string, for the types that the operators return."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(spark_ddl))
-
-
-Batches = Iterator[pa.RecordBatch]
-Mapper = Callable[[Batches], Batches]

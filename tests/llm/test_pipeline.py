@@ -67,3 +67,13 @@ def test_odd_rows_go_through(spark, odd_docs, data):
             assert docs.columns == odd_docs.columns
     # what has no letter goes, then the copy of document 4; a row without an id stays
     assert counts[0] == counts[1] and counts[2] == counts[1] - 1 == counts[3] == counts[4]
+
+
+def test_run_cleans_up(spark, data):
+    from graphloom.scratch import tables_made
+
+    with tables_made() as made:
+        out = corpus_pipeline.run(spark, data)
+    assert out.count() > 0 and out.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    left = [p for p in made if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    assert left == made[-1:]
