@@ -176,7 +176,8 @@ def q43(t):
 
 @query("q44_cross_edges", f"WITH {_SIM} SELECT 'a__' || left_id AS src, 'b__' || right_id AS dst, 'RELATED' AS relationship, round(similarity, 4) AS similarity_score, 'embedding' AS method FROM sim WHERE similarity >= {HI}")
 def q44(t):
-    return unify.concept_edges(unify.classify(_pairs(t), HI, LO), "a", "b").select("src", "dst", "relationship", "similarity_score", "method")
+    pairs = unify.similarities(t.vec_a, t.vec_b, at_least=LO)
+    return unify.concept_edges(unify.classify(pairs, HI, LO), "a", "b").select("src", "dst", "relationship", "similarity_score", "method")
 
 
 _RAW_EDGES = "SELECT CASE WHEN event_id % 5 = 0 THEN 'a__' ELSE '' END || user_id AS src, CASE WHEN event_id % 7 = 0 THEN 'gone' ELSE CAST(event_id % 50 AS VARCHAR) END AS dst, CASE event_id % 4 WHEN 0 THEN 'has-many parts' WHEN 1 THEN '' WHEN 2 THEN lower(event_type) END AS relationship, event_id AS seq FROM {events}"

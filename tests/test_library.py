@@ -116,6 +116,9 @@ def test_cosine_and_buckets(spark):
     b = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [1.0, 1.0]), ("3", [1.0, 2.0]), ("4", [1.0, 3.0]), ("5", [0.0, 0.0])], "id string, embedding array<float>")
     got = {r.right_id: (round(r.similarity, 4), r.bucket) for r in unify.classify(unify.similarities(a, b)).collect()}
     assert got == {"1": (1.0, "auto"), "2": (0.7071, "auto"), "3": (0.4472, "candidate"), "4": (0.3162, "reject"), "5": (0.0, "reject")}
+    assert {r.right_id for r in unify.similarities(a, b, at_least=0.4).collect()} == {"1", "2", "3"}
+    ragged = spark.createDataFrame([("s", [1.0]), ("n", None), ("e", [])], "id string, embedding array<float>")
+    assert {r.right_id: round(r.similarity, 4) for r in unify.similarities(b.where("id = '2'"), ragged).collect()} == {"s": 0.7071, "n": 0.0, "e": 0.0}
     pairs = unify.classify(unify.similarities(a, b))
     judged = unify.concept_edges(pairs, "A", "B", lambda p: {"decision": "LINK"} if p["right_id"] == "3" else None).collect()
     assert {(r.dst, r.method, r.relationship) for r in judged} == {("B__1", "embedding", "RELATED"), ("B__2", "embedding", "RELATED"), ("B__3", "judge", "RELATED")}
