@@ -11,20 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _scopes: list[list[str]] = []
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
     Where it is unset, which is so only in tests on one machine, a temporary
-    folder is made and remembered in the session's configuration.
+    folder is made, once for each application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="graphloom-")
+        _own[spark.sparkContext.applicationId] = found
     return found
 
 
