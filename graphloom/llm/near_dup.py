@@ -12,7 +12,7 @@ spanning forest come out.  First the signatures alone tell which classes have
 candidates; only their sets are made and shuffled.
 
 With 24 bands of 4 values a pair at 0.8 is missed with a probability of 3e-6,
-and lost to pruning with about 5e-6; more similar pairs with less.
+and lost to pruning with 9e-6 at most; more similar pairs with less.
 
 Defined cases: a text of fewer than five words, but not none, has one shingle,
 all its words; a text without words has no links and is its own class; rows of
