@@ -1,10 +1,14 @@
 """Toxicity as maximum-scoring segments.
 
-Tokens get log-odds (toxic against other documents) with an informative
-Dirichlet prior taken from both; a token whose log-odds aren't significant gets
-0, and a drift makes the mean negative.  A linear-time scan finds every maximal
-scoring segment of a text.  For the score distribution of clean text, lambda
-solves sum p e^(lambda s) = 1; a segment's extreme-value statistic is
+Tokens get log-odds (toxic against other documents) with a flat Dirichlet prior
+of ``PRIOR`` documents a token; a token whose counts don't differ significantly
+gets 0, and a drift makes the mean negative.  Significance is the signed root
+of the likelihood ratio, which holds for small counts too: a token that is in
+toxic documents only needs three or four of them where a tenth is toxic (the
+log-odds over their standard error need 16).  A linear-time scan finds every
+maximal scoring segment of a text.  For the score distribution of clean text
+(with ``UNSEEN`` documents more of each token), lambda solves
+sum p e^(lambda s) = 1; a segment's extreme-value statistic is
 lambda S - ln(K n).  Segments with an expectation below ``EXPECT`` are toxic
 passages.  Two numbers of each text, the best segment's statistic and the sum
 of the significant ones', give the calibrated score.
@@ -34,9 +38,11 @@ from graphloom.llm.langid import remainder
 
 BUCKETS = 1 << 20
 SAMPLE = 40_000
-#: The prior's mass as a share of all counts.
-PRIOR = 0.05
-SIGNIFICANT = 4.0
+#: Documents that the prior adds to each token's counts.
+PRIOR = 0.5
+SIGNIFICANT = 3.5
+#: Clean documents that the null distribution adds to each token, for those that no clean document has.
+UNSEEN = 0.1
 DRIFT = 0.25
 MOST = 8.0
 EXPECT = 0.01
@@ -63,15 +69,16 @@ def _document_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], ["bucket", "other", "toxic"])
 
 
-def token_scores(other: np.ndarray, toxic: np.ndarray, share: float = PRIOR) -> np.ndarray:
+def token_scores(other: np.ndarray, toxic: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     """Significant log-odds of each bucket, less the drift."""
     n0, n1, both = other.sum(), toxic.sum(), other + toxic
-    prior = share * (n0 + n1)
-    alpha = prior * both / max(n0 + n1, 1)
+    used = both > 0
+    mass, share = prior * used.sum(), n1 / max(n0 + n1, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        odds = np.log((toxic + alpha) / (n1 + prior - toxic - alpha)) - np.log((other + alpha) / (n0 + prior - other - alpha))
-        z = odds / np.sqrt(1 / (toxic + alpha) + 1 / (other + alpha))
-    odds = np.where((both > 0) & (np.abs(z) >= SIGNIFICANT), odds, 0.0)
+        odds = np.log((toxic + prior) / (n1 + mass - toxic - prior)) - np.log((other + prior) / (n0 + mass - other - prior))
+        ratio = np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0.0) + np.where(other > 0, other * np.log(other / (both * (1 - share))), 0.0)
+        z = np.sqrt(np.maximum(2 * ratio, 0))
+    odds = np.where(used & (z >= SIGNIFICANT), odds, 0.0)
     return (np.clip(odds, -2.0, MOST) - DRIFT).astype(np.float32)
 
 
@@ -195,7 +202,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col:
     if not other.any() or not toxic.any():
         return None
     scores = token_scores(other, toxic)
-    model = Model(scores, karlin_lambda(scores, other), np.zeros(3))
+    model = Model(scores, karlin_lambda(scores, other + UNSEEN * (other + toxic > 0)), np.zeros(3))
     rows = joined.where(~learn).select("_label", "text").mapInArrow(_evidence(model, False), "key int, best double, total double").toArrow()
     y = rows["key"].to_numpy().astype(float)
     if not len(y):

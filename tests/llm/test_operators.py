@@ -308,6 +308,24 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(odd_docs, None).collect()} == {0.0}
 
 
+def test_few_toxic_documents_make_a_token_count():
+    other, toxic = np.array([297, 0, 30, 0, 0]), np.array([32, 14, 3, 4, 1])
+    assert (toxicity.token_scores(other, toxic) > 0).tolist() == [False, True, False, True, False]
+
+
+def test_toxicity_held_out_on_a_small_table(spark):
+    small = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in table(spark, small, "labels").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).collect()}
+    held = [r for r in toxicity.op6_toxicity(spark, small).collect() if r.held_out and r.doc_id in labels]
+    words = {"trash", "scum", "idiot", "clown", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting"}
+    texts = {r.doc_id: set(re.findall(r"[a-z]+", (r.text or "").lower())) for r in table(spark, small, "documents").collect()}
+    toxic = [r for r in held if labels[r.doc_id]]
+    # some labelled as toxic have no word of the kind
+    spoken = [r for r in toxic if len(words & texts[r.doc_id]) >= 2]
+    assert len(spoken) >= 3 and all(r.predicted and r.n_passages for r in spoken)
+    assert np.mean([r.predicted for r in held if not labels[r.doc_id]]) <= 0.05
+
+
 # -- 7 near duplicates
 
 
