@@ -1,9 +1,9 @@
 """Main text of web pages, with a host suffix array against boilerplate.
 
-A page is read to blocks.  The token streams of a host's pages are
-concatenated, their suffixes are sorted to the depth ``DEPTH``, and substrings
-of that length or more that occur on ``MIN_PAGES`` distinct pages mark what
-they cover.  Covered tokens are boilerplate, unique runs are kept.
+A page is read to blocks.  Suffixes of the token streams of a host's pages are
+grouped by their first ``DEPTH`` tokens, and substrings of that length or more
+that occur on ``MIN_PAGES`` distinct pages of the host mark what they cover.
+Covered tokens are boilerplate, unique runs are kept.
 
 Markup is checked after that, and outranks repeats where it speaks: blocks in
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments
@@ -12,20 +12,27 @@ if other pages hold them, since a copied article, or a passage that many
 articles share, is content.  A page without a marked article keeps the unique
 runs of what isn't template.
 
-Hosts are dealt by range of (host, hash of the page), so a host that holds a
-third of all pages spreads over many tasks; a task sorts at most about
-``SHARD_BYTES`` of a host's pages at once.
+Repeats are those of the whole table, however large a host is.  A first pass
+marks the hashes of (host, ``DEPTH`` tokens) in a filter of what is seen twice;
+a second lets those it holds through to a shuffle by the hash, where pages are
+compared; the repeated ones go back to their pages by a second shuffle.  No
+step gathers a host, and what a part of a task's pages already repeats sends
+two pages of each part to the hash's place and is salted otherwise, so hot
+hosts and hot lines spread.  The filter never loses a repeat; a fuller one, of
+``MOST_BITS`` at most, only lets more through.
 
 Defined cases: null or empty HTML gives an empty text; broken markup is read
 leniently to the end; repeated rows are separate pages with equal texts
-(a repeated row counts as the same page for repeats); a null URL is a host of
-its own; extra columns are ignored.
+(rows of one host with the same HTML count as one page for repeats, so copies
+of a whole page don't take its text away); a null URL is a host of its own;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +43,14 @@ from graphloom.llm import bytetext as bt
 from graphloom.llm.common import table
 
 DEPTH = 8
-MIN_PAGES = 3
-SHARD_BYTES = 8 << 20
+MIN_PAGES = 2
+#: Pages are read in parts of about so many characters.
+PART_CHARS = 2 << 20
+SEGMENT_BITS = 1 << 16
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+SALTS = 256
+#: A task packs so many hashes at once, which bounds its memory.
+FLUSH_HASHES = 1 << 21
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -197,9 +210,13 @@ def main_texts(pages: list[tuple[object, list[tuple[str, bool, bool]]]]) -> list
     numbers: dict[object, int] = {}
     page_of = np.array([numbers.setdefault(p, len(numbers)) for p, _ in pages])
     streams, begins = _streams([[t for t, _, _ in own] for _, own in pages])
-    covered = repeated_tokens(streams, page_of)
+    return _texts([own for _, own in pages], repeated_tokens(streams, page_of), begins)
+
+
+def _texts(pages: list[list[tuple[str, bool, bool]]], covered: list[np.ndarray], begins: list[np.ndarray]) -> list[tuple[str, int]]:
+    """The main text of each page's blocks, and how many of its tokens are covered."""
     out = []
-    for (_, own), cover, begin in zip(pages, covered, begins, strict=True):
+    for own, cover, begin in zip(pages, covered, begins, strict=True):
         marked, texts = any(article and not template for _, template, article in own), []
         for (text, template, article), at in zip(own, begin.tolist(), strict=True):
             if template:
@@ -213,47 +230,173 @@ def main_texts(pages: list[tuple[object, list[tuple[str, bool, bool]]]]) -> list
     return out
 
 
-def _extract(batches):
-    """Columns: id, url, html, host; rows of a host follow each other."""
-    ids: list[pa.RecordBatch] = []
-    held: list[tuple[object, list[tuple[str, bool, bool]]]] = []
-    host, size = None, 0
+def _read(batches):
+    """Parts of the batches with their pages' blocks, streams, block begins and window hashes; column 0 is the HTML, 1 the host's hash."""
+    for batch in batches:
+        htmls, begin, size = batch.column(0).to_pylist(), 0, 0
+        for k, page in enumerate(htmls):
+            size += len(page or "")
+            if size > PART_CHARS or k == len(htmls) - 1:
+                part = batch.slice(begin, k + 1 - begin)
+                pages = [blocks(x or "") for x in htmls[begin : k + 1]]
+                streams, begins = _streams([[t for t, _, _ in own] for own in pages])
+                hosts = part.column(1).to_numpy().view(np.uint64)
+                windows = [bt.mix64(bt.window_hashes(s.view(np.uint64), DEPTH) ^ h) for s, h in zip(streams, hosts, strict=True)]
+                yield part, pages, streams, begins, windows
+                begin, size = k + 1, 0
+
+
+def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> bt.U64(20)) & bt.U64(bits - 1)
+
+
+def _pack(places: np.ndarray) -> bytes:
+    """Sorted places inside a segment, as their differences."""
+    return zlib.compress(np.diff(places, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(2, -1).T).view("<u2").ravel().astype(np.int64))
+
+
+def _mark(bits: int):
+    """For each segment of the filter the places of a partition's windows, and those that two pages have."""
+
+    def emit(held: list[np.ndarray]):
+        places, counts = np.unique(_place(np.concatenate(held), bits), return_counts=True)
+        segments, at = np.unique(places // SEGMENT_BITS, return_index=True)
+        edges = np.append(at, len(places)).tolist()
+        inside = (places % SEGMENT_BITS).astype(np.int64)
+        for k in range(0, len(segments), 256):
+            part = range(k, min(k + 256, len(segments)))
+            once = [_pack(inside[edges[i] : edges[i + 1]]) for i in part]
+            twice = [_pack(inside[edges[i] : edges[i + 1]][counts[edges[i] : edges[i + 1]] > 1]) for i in part]
+            yield pa.RecordBatch.from_arrays([pa.array(segments[part.start : part.stop].astype(np.int32)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["segment", "once", "twice"])
+
+    def run(batches):
+        held, size = [], 0
+        for _, _, _, _, windows in _read(batches):
+            held += [np.unique(w) for w in windows]
+            size += sum(len(w) for w in windows)
+            if size > FLUSH_HASHES:
+                yield from emit(held)
+                held, size = [], 0
+        if size:
+            yield from emit(held)
+
+    return run
+
+
+def _merge_segments(batches):
+    """Merges the rows of a segment, which follow each other, one by one."""
+    now, once, twice = None, None, None
 
     def done():
-        texts = main_texts(held)
-        both = pa.Table.from_batches(ids).combine_chunks()
-        return pa.RecordBatch.from_arrays(
-            [both.column(0).combine_chunks(), both.column(1).combine_chunks(), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
-            ["id", "url", "text", "n_chars", "n_repeated"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())], ["segment", "twice"])
 
     for batch in batches:
-        hosts = batch.column(3).to_pylist()
-        keys, begin = batch.column(0).to_pylist(), 0
-        for k, (h, page) in enumerate(zip(hosts, batch.column(2), strict=True)):
-            raw = page.as_py() or ""
-            if held and (h != host or size > SHARD_BYTES):
-                if k > begin:
-                    ids.append(batch.select([0, 1]).slice(begin, k - begin))
-                yield done()
-                ids, held, begin, size = [], [], k, 0
-            host = h
-            held.append((keys[k] if keys[k] is not None else ("null", len(held)), blocks(raw)))
-            size += len(raw)
-        if len(hosts) > begin:
-            ids.append(batch.select([0, 1]).slice(begin))
-    if held:
+        for segment, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if segment != now:
+                if now is not None:
+                    yield done()
+                now, once, twice = segment, np.zeros(SEGMENT_BITS, dtype=bool), np.zeros(SEGMENT_BITS, dtype=bool)
+            a = _unpack(a)
+            twice[a[once[a]]] = True
+            once[a] = True
+            twice[_unpack(b)] = True
+    if now is not None:
         yield done()
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _suspects(held, bits: int):
+    """(window, page, salt) of the windows that the filter holds, once for each page of a part; column 2 is the page's key.
+
+    A salt over 0 says that the part itself repeats the window; two of its pages go without.
+    """
+
+    def run(batches):
+        packed = held.value
+        for part, _, _, _, windows in _read(batches):
+            own = [np.unique(w) for w in windows]
+            flat, page = np.concatenate(own), np.repeat(part.column(2).to_numpy(), [len(w) for w in own])
+            place = _place(flat, bits)
+            hit = (packed[place >> bt.U64(3)] >> (place & bt.U64(7)).astype(np.uint8) & 1).astype(bool)
+            flat, page = flat[hit].view(np.int64), page[hit]
+            order = np.lexsort((page, flat))
+            flat, page = flat[order], page[order]
+            new = np.ones(len(flat), dtype=bool)
+            new[1:] = (flat[1:] != flat[:-1]) | (page[1:] != page[:-1])
+            flat, page = flat[new], page[new]
+            # from the third page of a window on
+            salt = np.zeros(len(flat), dtype=np.int32)
+            salt[2:] = np.where(flat[2:] == flat[:-2], 1 + (page[2:] & (SALTS - 1)), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(page), pa.array(salt)], ["window", "page", "salt"])
+
+    return run
+
+
+def _repeated(batches):
+    """(page, window) of the windows that two pages have; rows are sorted by window and page."""
+    window, page, salt, known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # a last window of one page so far is carried over
+        window, page, salt = (np.concatenate((x, batch.column(k).to_numpy())) for k, x in enumerate((window, page, salt)))
+        first = np.ones(len(window), dtype=bool)
+        first[1:] = window[1:] != window[:-1]
+        at = np.flatnonzero(first)
+        sizes = np.diff(np.append(at, len(window)))
+        many = (page[at] != page[at + sizes - 1]) | (np.maximum.reduceat(salt, at) > 0)
+        many[0] |= known is not None and window[0] == known
+        keep = np.repeat(many, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(page[keep]), pa.array(window[keep])], ["page", "window"])
+        known = window[-1] if many[-1] else None
+        cut = len(window) if many[-1] else len(window) - 1
+        window, page, salt = window[cut:], page[cut:], salt[cut:]
+
+
+def _extract(batches):
+    """Columns: HTML, host's hash, id, url, and the page's repeated windows."""
+    for part, pages, streams, begins, windows in _read(batches):
+        covered = []
+        for s, w, seen in zip(streams, windows, part.column(4), strict=True):
+            cover = np.zeros(len(s), dtype=bool)
+            if seen.is_valid:
+                for k in np.flatnonzero(np.isin(w, seen.values.to_numpy(zero_copy_only=False).view(np.uint64))).tolist():
+                    cover[k : k + DEPTH] = True
+            covered.append(cover)
+        texts = _texts(pages, covered, begins)
+        yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())], ["id", "url", "text", "n_chars", "n_repeated"])
+
+
+def repeated_windows(rows: DataFrame, bits: int | None = None) -> DataFrame:
+    """(page, its windows that another page of the host has too) of rows with ``html``, ``host`` and ``page``."""
+    if bits is None:
+        size = rows.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * size).bit_length()))
+    read = rows.select("html", "host", "page")
+    marks = read.mapInArrow(_mark(bits), "segment int, once binary, twice binary")
+    merged = marks.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_segments, "segment int, twice binary")
+    packed = np.zeros(bits // 8, dtype=np.uint8)
+    for r in merged.toLocalIterator():
+        packed[r["segment"] * SEGMENT_BITS // 8 : (r["segment"] + 1) * SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(packed)
+    suspects = read.mapInArrow(_suspects(held, bits), "window long, page long, salt int")
+    often = suspects.repartition("window", "salt").sortWithinPartitions("window", "page").mapInArrow(_repeated, "page long, window long")
+    return often.groupBy("page").agg(F.collect_set("window").alias("windows"))
+
+
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bits: int | None = None) -> DataFrame:
     """Per page: id, url, main ``text``, ``n_chars`` and ``n_repeated``, the tokens that substrings shared by the host's pages cover."""
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    dealt = rows.withColumn("place", F.xxhash64("id")).repartitionByRange("host", "place").sortWithinPartitions("host", "place").drop("place")
+    rows = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(host).alias("host"), F.col(id_col).alias("id"), url.alias("url"))
+    rows = rows.withColumn("page", F.xxhash64("host", "html"))
+    found = repeated_windows(rows, bits).withColumnRenamed("page", "of")
     kind = pages.schema[id_col].dataType.simpleString()
-    return dealt.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long, n_repeated long").withColumnRenamed("id", id_col)
+    out = rows.join(found, F.col("page") == F.col("of"), "left").select("html", "host", "id", "url", "windows")
+    return out.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long, n_repeated long").withColumnRenamed("id", id_col)
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,37 @@ def test_pages_against_a_plain_reading(spark, data):
         assert got[r.page_id] == (r.url, text, len(text))
 
 
+def test_repeats_are_those_of_the_whole_host(spark):
+    # the template is on two pages that 300 others, dealt over 40 partitions, keep apart
+    template = "<div>Welcome to the best shop of all towns on earth</div>"
+    story = lambda i: " ".join(f"s{i}x{k}" for k in range(30))
+    rows = [(i, "http://h.example/a", page((template if i in (3, 250) else "") + f"<div>{story(i)}</div>")) for i in range(300)]
+    rows += [(1000, "http://c.example/1", page("<div>" + story(1000) + "</div>")), (1001, "http://c.example/2", page("<div>" + story(1000) + "</div>"))]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(40)
+    for bits in (None, 1 << 16):
+        got = {r.page_id: (r.text, r.n_repeated) for r in html_extract.extract(docs, bits=bits).collect()}
+        # block edges are tokens too
+        assert len(got) == len(rows) and {i for i, (_, n) in got.items() if n} == {3, 250} and got[3][1] == got[250][1] >= 11
+        # copies of a whole page keep their text
+        assert all(t == story(min(i, 1000)) for i, (t, _) in got.items())
+
+
+def test_repeated_windows_across_batches():
+    import pyarrow as pa
+
+    rows = [(1, 5, 0), (1, 5, 0), (2, 3, 0), (2, 9, 0), (2, 11, 0), (3, 4, 0), (4, 1, 7), (5, 2, 0), (5, 8, 0), (6, 1, 0)]
+    want = [(p, w) for w, p, _ in rows if w in (2, 4, 5)]
+    for size in (1, 2, 3, 10):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["window", "page", "salt"]) for k in range(0, len(rows), size)]
+        assert [(p, w) for b in html_extract._repeated(parts) for p, w in zip(b["page"].to_pylist(), b["window"].to_pylist(), strict=True)] == want
+
+
+def test_repeats_dont_depend_on_how_pages_are_dealt(spark, data):
+    pages = table(spark, data, "pages")
+    one, many = (sorted(map(tuple, html_extract.extract(pages.repartition(n)).collect())) for n in (1, 9))
+    assert one == many
+
+
 # -- 3 media
 
 
