@@ -310,7 +310,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     gone = found.where(F.col("id") != F.col("class_id")).select(F.col("id").alias(name)).join(kept, F.col(name) == F.col("_kept"), "left_anti").distinct()
     out = docs.join(materialize(gone, "near-gone").hint("shuffle_hash"), docs[id_col] == F.col(name), "left_anti")
     repeated = found.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])
+    if repeated.isEmpty():
+        return out
+    # only rows of the repeated ids are held against each other
+    name = fresh(docs, "_again")
+    again = materialize(repeated.select(F.col("id").alias(name)), "near-again").hint("shuffle_hash")
+    twice = out.join(again, docs[id_col] == F.col(name), "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(again, docs[id_col] == F.col(name), "left_anti").union(twice)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

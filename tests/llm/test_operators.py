@@ -426,6 +426,13 @@ def test_keep_one(spark, odd_docs, no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0 and near_dup.near_duplicates(odd_docs).count() == odd_docs.count()
 
 
+def test_keep_one_drops_no_row_without_an_id(spark):
+    rows = [(None, "", "a"), (None, "", "b"), (None, None, "c"), (None, None, "d"), (1, "", "e"), (1, "", "f"), (7, "alpha beta gamma", "g"), (7, "alpha beta gamma", "h")]
+    for own, n in ((rows, 1), (rows[:6], 0)):
+        got = near_dup.keep_one(spark.createDataFrame(own, "doc_id long, text string, extra string")).collect()
+        assert sorted(r.extra for r in got if r.doc_id != 7) == list("abcdef") and sum(r.doc_id == 7 for r in got) == n
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in components.components(edges, "a", "b").collect()}
