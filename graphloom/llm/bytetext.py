@@ -32,21 +32,6 @@ WORD[0x80:] = True
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers = {"up": np.ones(1, dtype=U64), "down": np.ones(1, dtype=U64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64 ("down": of the inverse base)."""
-    have = _powers[kind]
-    if len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "up" else _BASE_INV, dtype=U64)
-        steps[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The splitmix64 finaliser: a bijection that spreads every bit."""
     x = x + U64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
@@ -95,25 +80,61 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _power("up", len(data)), out=sums[1:])
-    return sums
+#: Masks for the last 0 to 8 bytes of a span.
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; equal bytes have equal hashes wherever they are."""
-    if not len(starts):
-        return np.zeros(0, dtype=U64)
-    sums = prefix_sums(data)
-    return mix64((sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts] + (ends - starts).astype(U64))
+def span_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans' bytes as 8-byte numbers (the last one padded with zeros), each one's place in its span, and the spans' offsets."""
+    counts = (ends - starts + 7) >> 3
+    to = np.concatenate(([0], np.cumsum(counts)))
+    place = np.arange(to[-1]) - np.repeat(to[:-1], counts)
+    at = np.repeat(starts, counts) + 8 * place
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    chunks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    chunks &= _TAIL[np.minimum(np.repeat(ends, counts) - at, 8)]
+    return chunks, place, to
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; equal bytes have equal hashes wherever they are.
+
+    Every 8 bytes are mixed together with their place before they are added up,
+    so no structure of the bytes carries over to the sums.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=U64)
+    chunks, place, to = span_chunks(data, starts, ends)
+    out = np.zeros(len(starts), dtype=U64)
+    full = np.flatnonzero(np.diff(to))
+    if len(full):
+        later = place > 0
+        chunks[later] ^= mix64(place[later].astype(U64), seed + 1)
+        out[full] = np.add.reduceat(mix64(chunks, seed + 2), to[:-1][full])
+    return mix64(out + (ends - starts).astype(U64), seed + 3)
+
+
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span: equal ones are equal bytes, which are compared, and not only their hashes."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    like = first[number]
+    same = bool((ends - starts == ends[like] - starts[like]).all())
+    if same:
+        chunks, place, to = span_chunks(data, starts, ends)
+        same = bool((chunks == chunks[np.repeat(to[:-1][like], np.diff(to)) + place]).all())
+    if same:
+        return number
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+
+
+def words(data: np.ndarray, offs: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words: their hashes, starts and ends in ``data``, and per-text word offsets."""
     low = LOWER[data]
     starts, ends, at = runs(WORD[low], offs)
-    return span_hashes(low, starts, ends), starts, ends, at
+    return span_hashes(low, starts, ends, seed), starts, ends, at
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -121,10 +142,12 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    out, factor = np.zeros(n, dtype=U64), 1
+    out = np.full(n, size, dtype=U64)
     for t in range(size):
-        out += hashes[t : t + n] * U64(factor)
-        factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
+        # each step is a bijection of what went before
+        out ^= hashes[t : t + n]
+        out *= U64(0xD6E8FEB86659FD93)
+        out ^= out >> U64(32)
     return mix64(out, size)
 
 

@@ -14,7 +14,8 @@ what is broadcast.
 Defined cases: a null or empty text is one empty line and is returned as it
 is; rows of one document id are one document; rows without an id are never the
 chosen ones and don't count as a document, but lose repeated lines; all lines
-of a key stay in the chosen document; extra columns are kept.
+of a key stay in the chosen document; an empty table gives an empty one; a very
+long text is one slice of its own and is read whole; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -72,13 +73,15 @@ class _Lines:
         self.doc = np.repeat(np.arange(texts), self.counts)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, hash, a line) of the long keys, once for each document."""
+        """(document, hash, a line) of the long keys, once for each document; keys are told apart by their bytes."""
         lines = np.flatnonzero(self.long)
-        order = lines[np.lexsort((self.hashes[lines], self.doc[lines]))]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (self.hashes[order][1:] != self.hashes[order][:-1]) | (self.doc[order][1:] != self.doc[order][:-1])
-        order = order[new]
-        return self.doc[order], self.hashes[order], order
+        number = bt.span_numbers(self.low, self.key_starts[lines], self.key_ends[lines])
+        order = np.lexsort((number, self.doc[lines]))
+        lines, number = lines[order], number[order]
+        new = np.ones(len(lines), dtype=bool)
+        new[1:] = (number[1:] != number[:-1]) | (self.doc[lines][1:] != self.doc[lines][:-1])
+        lines = lines[new]
+        return self.doc[lines], self.hashes[lines], lines
 
 
 def _probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +159,7 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, bits: int | None
 
 
 def _suspects(held: Broadcast, bits: int, min_chars: int):
-    """(id, hash, key) of the lines whose key the filter holds, once for each row."""
+    """(id, key) of the lines whose key the filter holds, once for each row."""
 
     def run(batches):
         packed = held.value
@@ -167,13 +170,18 @@ def _suspects(held: Broadcast, bits: int, min_chars: int):
             hit = np.ones(len(hashes), dtype=bool)
             for x in (p, q):
                 hit &= (packed[x >> bt.U64(3)] >> (bt.U64(7) - (x & bt.U64(7))).astype(np.uint8) & 1).astype(bool)
-            doc, hashes, line = doc[hit], hashes[hit], line[hit]
+            doc, line = doc[hit], line[hit]
             keys = [lines.low[a:b].tobytes() for a, b in zip(lines.key_starts[line].tolist(), lines.key_ends[line].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(hashes.view(np.int64)), pa.array(keys, pa.binary())], ["id", "hash", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(keys, pa.binary())], ["id", "key"])
 
     return run
 
 
+def _hashes(keys: pa.Array) -> np.ndarray:
+    data, offs = bt.column_bytes(keys)
+    return bt.span_hashes(data, offs[:-1], offs[1:])
+
+
 def _drop(keep: list[str], text: str, min_chars: int, names: tuple[str, str, str]):
     """Joins the lines that stay; null texts stay null."""
     n_lines, n_dropped, gone = names
@@ -182,16 +190,17 @@ def _drop(keep: list[str], text: str, min_chars: int, names: tuple[str, str, str
         for batch, data, offs in sliced(batches, text):
             lines = _Lines(data, offs, min_chars)
             lists = batch.column(gone)
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(lists) else np.zeros(0, np.uint64)
-            sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], dtype=np.int64)
-            to = np.concatenate(([0], np.cumsum(sizes)))
-            out, dropped = batch.column(text).to_pylist(), np.zeros(len(sizes), dtype=np.int64)
-            for d in np.flatnonzero(sizes).tolist():
+            keys, out, dropped = lists.flatten(), batch.column(text).to_pylist(), np.zeros(batch.num_rows, dtype=np.int64)
+            key_hashes, to = _hashes(keys), np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            for d in np.flatnonzero(np.diff(to)).tolist():
                 a, b = lines.at[d], lines.at[d + 1]
-                lose = lines.long[a:b] & np.isin(lines.hashes[a:b], values[to[d] : to[d + 1]])
-                if lose.any():
-                    dropped[d] = lose.sum()
-                    out[d] = b"\n".join(data[lines.starts[k] : lines.ends[k]].tobytes() for k in (np.flatnonzero(~lose) + a).tolist()).decode("utf-8")
+                maybe = np.flatnonzero(lines.long[a:b] & np.isin(lines.hashes[a:b], key_hashes[to[d] : to[d + 1]])) + a
+                # hashes only say where to look: the keys themselves decide
+                own = set(keys.slice(to[d], to[d + 1] - to[d]).to_pylist())
+                lose = {k for k in maybe.tolist() if lines.low[lines.key_starts[k] : lines.key_ends[k]].tobytes() in own}
+                if lose:
+                    dropped[d] = len(lose)
+                    out[d] = b"\n".join(data[lines.starts[k] : lines.ends[k]].tobytes() for k in range(a, b) if k not in lose).decode("utf-8")
             cols = [pa.array(out, batch.column(c).type) if c == text else batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lines.counts.astype(np.int64)), pa.array(dropped)], [*keep, n_lines, n_dropped])
 
@@ -204,11 +213,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     losing_id = fresh(docs, "_losing_id")
     held, bits = twice_seen(docs, text_col, min_chars, bits)
     kind = docs.schema[id_col].dataType.simpleString()
-    suspects = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_suspects(held, bits, min_chars), f"id {kind}, hash long, key binary"), "line-suspects")
+    suspects = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_suspects(held, bits, min_chars), f"id {kind}, key binary"), "line-suspects")
     repeated = suspects.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("first_id")).where(F.col("n") >= min_docs)
     repeated = materialize(repeated.select(F.col("key").alias("repeated_key"), "first_id"), "line-repeats")
     losing = suspects.join(repeated, F.col("key") == F.col("repeated_key")).where(~F.col("id").eqNullSafe(F.col("first_id")))
-    lost = losing.groupBy(F.col("id").alias(losing_id)).agg(F.collect_set("hash").alias(names[2]))
+    lost = losing.groupBy(F.col("id").alias(losing_id)).agg(F.collect_set("key").alias(names[2]))
     joined = docs.join(lost.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(losing_id)), "left").drop(losing_id)
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_drop(docs.columns, text_col, min_chars, names), f"{plain}, `{names[0]}` long, `{names[1]}` long")

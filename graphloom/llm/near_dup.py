@@ -4,12 +4,14 @@ Texts become sets of five-word shingles.  Texts of one set are one class, and
 only classes are joined.  MinHash values in bands propose candidates; a pair is
 looked at in its first common band only.  Its values are compared 16 at a time,
 and it is dropped once the posterior probability of a similarity of 0.8 falls
-below ``TOLERANCE`` (uniform prior).  What is left is verified on the sets.
+below ``TOLERANCE`` (uniform prior).  What is left is verified on the words of the
+shingles, not on hashes.  A class is told by 128 bits, whose halves come from
+independent hashes of the shingles.
 
 No pair is ever a row.  A band's bucket is worked on in blocks of about
 ``BLOCK`` classes, two blocks at a time; of each, only link counts and a
 spanning forest come out.  First the signatures alone tell which classes have
-candidates; only their sets are made and shuffled.
+candidates; only their texts are shuffled.
 
 With 24 bands of 4 values a pair at 0.8 is missed with a probability of 3e-6,
 and lost to pruning with 9e-6 at most; more similar pairs with less.
@@ -17,8 +19,9 @@ and lost to pruning with 9e-6 at most; more similar pairs with less.
 Defined cases: a text of fewer than five words, but not none, has one shingle,
 all its words; a text without words has no links and is its own class; rows of
 one id are counted one by one; rows without an id count as partners, and their
-class has the least id there is, or null; extra columns are kept by
-``keep_one`` and ignored otherwise.
+class has the least id there is, or null; an empty table gives an empty one; a
+very long text is one slice of its own and is read whole; extra columns are kept
+by ``keep_one`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from graphloom.llm.common import fresh, grouped, materialize, sliced, table
 from graphloom.llm.components import components
 
 SHINGLE = 5
+#: Seed of the second hash in class keys.
+SECOND = 77
 THRESHOLD = (4, 5)  # 0.8 as a fraction
 VALUES, ROWS, STEP = 96, 4, 16
 BANDS = VALUES // ROWS
@@ -47,21 +52,42 @@ _FACTORS = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
 _TERMS = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes of each text, and their offsets."""
+def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, another hash of each of them, and the texts' offsets."""
     hashes, _, _, at = bt.words(data, offs)
     windows, to = bt.text_windows(hashes, at, SHINGLE)
+    others, _ = bt.text_windows(bt.words(data, offs, seed=SECOND)[0], at, SHINGLE)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(to))
     order = np.lexsort((windows, doc))
-    windows, doc = windows[order], doc[order]
+    windows, others, doc = windows[order], others[order], doc[order]
     new = np.ones(len(windows), dtype=bool)
     new[1:] = (windows[1:] != windows[:-1]) | (doc[1:] != doc[:-1])
-    return windows[new], np.searchsorted(doc[new], np.arange(len(offs)))
-
-
-def set_keys(values: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """A 128-bit key of each non-empty set, as rows of 16 bytes."""
-    out = np.stack([np.add.reduceat(bt.mix64(values, seed), to) for seed in (1, 2)], axis=1)
+    return windows[new], others[new], np.searchsorted(doc[new], np.arange(len(offs)))
+
+
+def spelled_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text as numbers; equal numbers are equal words in equal order."""
+    offs = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    low = bt.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    starts, ends, at = bt.runs(bt.WORD[low], offs)
+    number = np.append(bt.span_numbers(low, starts, ends) + 1, 0)
+    counts = np.diff(at)
+    windows = np.where(counts == 0, 0, np.maximum(counts - SHINGLE + 1, 1))
+    doc = np.repeat(np.arange(len(texts)), windows)
+    first = at[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
+    key, many = np.zeros(len(doc), np.int64), int(number.max()) + 1
+    for t in range(SHINGLE):
+        # 0 stands for no word, in texts of fewer words
+        word = np.where(first + t < at[1:][doc], number[np.minimum(first + t, len(number) - 1)], 0)
+        _, key = np.unique(key * many + word, return_inverse=True)
+    both = np.unique(doc * (int(key.max()) + 1 if len(key) else 1) + key)
+    cut = np.searchsorted(both, np.arange(len(texts) + 1) * (int(key.max()) + 1 if len(key) else 1))
+    return [both[a:b] - k * (int(key.max()) + 1) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))] if len(key) else [both for _ in texts]
+
+
+def set_keys(values: np.ndarray, others: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """A 128-bit key of each non-empty set, as rows of 16 bytes; its halves come from independent hashes of the shingles."""
+    out = np.stack([np.add.reduceat(bt.mix64(v, seed), to) for seed, v in ((1, values), (2, others))], axis=1)
     return np.ascontiguousarray(out.astype(">u8")).view(np.uint8).reshape(len(to), 16)
 
 
@@ -85,12 +111,12 @@ def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
 def _sign(batches):
     """(id, class key, shingles, signature) of each text with words; column 0 is the id, 1 the text."""
     for batch, data, offs in sliced(batches, 1):
-        values, to = shingle_sets(data, offs)
+        values, others, to = shingle_sets(data, offs)
         full = np.flatnonzero(np.diff(to))
         if len(full):
             at = to[full]
             signs = signatures(values, at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _binary(set_keys(values, at)), pa.array(np.diff(to)[full].astype(np.int32)), _binary(signs.view(np.uint8))], ["id", "ck", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), _binary(set_keys(values, others, at)), pa.array(np.diff(to)[full].astype(np.int32)), _binary(signs.view(np.uint8))], ["id", "ck", "n", "sig"])
 
 
 def _band_rows(batches):
@@ -199,9 +225,12 @@ def _verify(batches):
         i, j = candidates(signs, sizes, blocks, band, same)
         if not len(i):
             continue
-        raw, docs = t["set"].slice(a, b - a), t["docs"].to_numpy()[a:b][one]
-        sets = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in one.tolist()]
-        inter = shared_counts(sets, i, j)
+        # the words themselves are compared, of the texts that are in a pair
+        used, flat = np.unique(np.concatenate((i, j)), return_inverse=True)
+        raw, docs = t["text"].slice(a, b - a), t["docs"].to_numpy()[a:b][one]
+        sets = spelled_sets([raw[int(k)].as_py() for k in one[used]])
+        sizes[used] = [len(x) for x in sets]
+        inter = shared_counts(sets, flat[: len(i)], flat[len(i) :])
         near = inter * THRESHOLD[1] >= (sizes[i] + sizes[j] - inter) * THRESHOLD[0]
         i, j = i[near], j[near]
         links = np.bincount(i, weights=docs[j], minlength=len(keys)) + np.bincount(j, weights=docs[i], minlength=len(keys))
@@ -221,19 +250,19 @@ def _verify(batches):
 
 
 def _marked(words: np.ndarray, bits: int):
-    """(class key, id, set) of the texts whose id's hash is marked; columns: id, text, hash."""
+    """(class key, id, text) of the texts whose id's hash is marked; columns: id, text, hash."""
 
     def run(batches):
         for batch in batches:
             place = batch.column(2).to_numpy().view(np.uint64) & bt.U64(bits - 1)
             hit = (words[place >> bt.U64(6)] >> (place & bt.U64(63)) & bt.U64(1)).astype(bool)
             for part, data, offs in sliced([batch.filter(pa.array(hit))], 1):
-                values, to = shingle_sets(data, offs)
+                values, others, to = shingle_sets(data, offs)
                 full = np.flatnonzero(np.diff(to))
                 if len(full):
-                    keys = set_keys(values, to[full])
-                    sets = pa.array([values[to[k] : to[k + 1]].tobytes() for k in full.tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([_binary(keys), part.column(0).take(pa.array(full)), sets], ["ck", "id", "set"])
+                    keys = set_keys(values, others, to[full])
+                    texts = pa.array([data[offs[k] : offs[k + 1]].tobytes() for k in full.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([_binary(keys), part.column(0).take(pa.array(full)), texts], ["ck", "id", "text"])
 
     return run
 
@@ -274,9 +303,9 @@ class Join:
         needed = materialize(involved.select("ck").distinct().join(self.classes, "ck"), "near-needed")
         words, bits = _marks(needed, "rep")
         held = docs.sparkSession.sparkContext.broadcast(words)
-        sets = texts.select("id", "text", F.xxhash64("id").alias("hash")).mapInArrow(_late(held, bits), f"ck binary, id {kind}, set binary")
-        chosen = needed.join(sets.select(F.col("ck").alias("of"), "id", "set"), (F.col("ck") == F.col("of")) & F.col("rep").eqNullSafe(F.col("id"))).select("ck", "docs", "n", "sig", "set")
-        again = involved.join(chosen, "ck").select(*_GROUP, "blk", "ck", "docs", "n", "sig", "set").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+        spelled = texts.select("id", "text", F.xxhash64("id").alias("hash")).mapInArrow(_late(held, bits), f"ck binary, id {kind}, text binary")
+        chosen = needed.join(spelled.select(F.col("ck").alias("of"), "id", "text"), (F.col("ck") == F.col("of")) & F.col("rep").eqNullSafe(F.col("id"))).select("ck", "docs", "n", "sig", "text")
+        again = involved.join(chosen, "ck").select(*_GROUP, "blk", "ck", "docs", "n", "sig", "text").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
         self.verified = materialize(again.mapInArrow(_verify, "ck binary, links long, root binary"), "near-verified")
 
     def result(self) -> DataFrame:
@@ -304,7 +333,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the least id of each class only; rows without an id stay, and rows of one id that stays do."""
-    found = Join(docs, id_col=id_col, text_col=text_col).result()
+    # read four times below
+    found = materialize(Join(docs, id_col=id_col, text_col=text_col).result(), "near-found")
     kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("_kept"))
     name = fresh(docs, "_gone")
     gone = found.where(F.col("id") != F.col("class_id")).select(F.col("id").alias(name)).join(kept, F.col(name) == F.col("_kept"), "left_anti").distinct()
