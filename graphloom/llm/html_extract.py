@@ -6,26 +6,31 @@ that occur on ``MIN_PAGES`` distinct pages of the host mark what they cover.
 Covered tokens are boilerplate, unique runs are kept.
 
 Markup is checked after that, and outranks repeats where it speaks: blocks in
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-go even if they are unique, and blocks of an ``article`` or ``main`` stay even
-if other pages hold them, since a copied article, or a passage that many
-articles share, is content.  A page without a marked article keeps the unique
-runs of what isn't template.
-
-Repeats are those of the whole table, however large a host is.  A first pass
-marks the hashes of (host, ``DEPTH`` tokens) in a filter of what is seen twice;
-a second lets those it holds through to a shuffle by the hash, where pages are
-compared; the repeated ones go back to their pages by a second shuffle.  No
-step gathers a host, and what a part of a task's pages already repeats sends
-two pages of each part to the hash's place and is salted otherwise, so hot
-hosts and hot lines spread.  The filter never loses a repeat; a fuller one, of
-``MOST_BITS`` at most, only lets more through.
+menus, page headers, footers, sidebars, notices, adverts, forms and reader
+comments go even if they are unique, and blocks of an ``article`` or ``main``
+stay even if other pages hold them, since a copied article, or a passage that
+many articles share, is content.  A page without a marked article keeps the
+unique runs of what isn't template, and so does one whose marked article is less
+than these.  A form is entered where it wraps an article or the whole page.
+
+Repeats are those of the whole table, however large a host is and however its
+pages are dealt.  A first pass marks the hashes of (host, ``DEPTH`` tokens),
+that is of the suffixes' beginnings, in a filter of what is seen twice; a second
+gives, for what the filter holds, the least and the largest page of each part to
+a shuffle by the hash, where what two pages have is found; a third covers the
+pages with it.  The repeated hashes are counted first: up to
+``MOST_BROADCAST`` are broadcast, and more go to their pages by salted shuffles.
+No step gathers a host, and a hot host's windows are a row for each task.  The
+filter never loses a repeat; a fuller one, of ``MOST_BITS`` at most, only lets
+more through.
 
 Defined cases: null or empty HTML gives an empty text; broken markup is read
-leniently to the end; repeated rows are separate pages with equal texts
-(rows of one host with the same HTML count as one page for repeats, so copies
-of a whole page don't take its text away); a null URL is a host of its own;
-extra columns are ignored.
+leniently to the end, in time linear in its length (after a quote that is never
+closed, quotes mean nothing on that page); a very long page is a part of its own
+and is read whole; an empty table gives an empty one; repeated rows are separate
+pages with equal texts (rows of one host with the same HTML count as one page
+for repeats, so copies of a whole page don't take its text away); a null URL is
+a host of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytetext as bt
-from graphloom.llm.common import table
+from graphloom.llm.common import materialize, table
 
 DEPTH = 8
 MIN_PAGES = 2
@@ -48,45 +53,113 @@ MIN_PAGES = 2
 PART_CHARS = 2 << 20
 SEGMENT_BITS = 1 << 16
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
-SALTS = 256
+SALTS = 8
+#: So many repeated windows are broadcast at most (64 MB); more are shuffled to their pages.
+MOST_BROADCAST = 1 << 23
 #: A task packs so many hashes at once, which bounds its memory.
 FLUSH_HASHES = 1 << 21
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)>""", re.S)
-_ATTR = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes math".split())
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9:_-]*")
+#: A tag's attributes, up to its end; a match takes linear time, since nothing is given back.
+_INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+_ATTR = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_RAW = frozenset("script style textarea title noscript template iframe svg noembed noframes".split())
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-_TEMPLATE = frozenset("head nav header footer aside form menu dialog button select fieldset object canvas audio video datalist".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip status".split())
+_BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul xmp".split()
+)
+#: Tags that end an open paragraph or item of their kind.
+_ENDS = {"li": frozenset(["li"]), **dict.fromkeys(("dt", "dd"), frozenset(["dt", "dd"])), **dict.fromkeys(("td", "th"), frozenset(["td", "th"])), "tr": frozenset(["td", "th"]), "option": frozenset(["option"])}
+_TEMPLATE = frozenset("head nav footer aside menu dialog button select object canvas audio video datalist".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tooltip status".split())
+#: Words of class names and ids that mark template anywhere.
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar sidebars aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc header masthead topbar footer bottombar copyright related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond form search skip toolbar".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
+    "subscribe subscription signup login sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager masthead topbar bottombar copyright comment comments commentlist disqus".split()
 )
+#: Words that do so on containers only: a paragraph or heading of such a name is text.
+_SOFT = frozenset("aside widget widgets toc header footer promo promoted promotion related recommended recommendations share sharing social reply replies respond search skip toolbar".split())
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table tbody tr td th dl dt dd li figure figcaption b i em strong a code q cite mark".split())
 _ARTICLE_NAMES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
+#: Words that turn the next one into its opposite, or into a layout of what holds it.
+_NOT = frozenset("no non not without has with hide".split())
 
+#: How sure it is that a block is template: a form can wrap a whole page.
+TEXT, FORM, TEMPLATE = 0, 1, 2
 
-def _is_template(tag: str, attrs: str) -> bool:
-    if tag in _TEMPLATE:
-        return True
-    if not attrs or "=" not in attrs and "hidden" not in attrs or tag in ("html", "body", "main"):
-        return False
-    names = _ARTICLE_NAMES if tag == "article" else _NAMES
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not names.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-        if name == "hidden" or name == "role" and value in _ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+
+def _named(value: str, names: frozenset[str]) -> bool:
+    for word in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
+        if not names.isdisjoint(parts) and _NOT.isdisjoint(parts):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, is template, is in an article or main) of each non-empty block, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+def _is_template(tag: str, attrs: str, article: bool) -> int:
+    if tag in _TEMPLATE or tag == "header" and not article:
+        return TEMPLATE
+    sure = FORM if tag in ("form", "fieldset") else TEXT
+    if not attrs or "=" not in attrs and "hidden" not in attrs or tag in ("html", "body", "main"):
+        return sure
+    names = _ARTICLE_NAMES if tag == "article" else _NAMES if tag in _TEXT_TAGS or tag == "header" else _NAMES | _SOFT
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id"):
+            if _named(value, names) and sure != FORM:
+                return TEMPLATE
+        elif name == "hidden" or name == "role" and value in _ROLES or name == "aria-hidden" and value == "true":
+            return TEMPLATE
+        elif name == "style" and re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value):
+            return TEMPLATE
+    return sure
+
+
+def _tags(page: str):
+    """(text before, tag in lower case, closing, attributes, end) of each tag, in time linear in the page's length; the last one's tag is empty."""
+    at, last, loose = 0, page.rfind(">"), False
+    before: list[str] = []
+    begin = 0
+    while True:
+        at = page.find("<", at)
+        # without a > no tag ends: what is left is text
+        if at < 0 or at > last:
+            before.append(html.unescape(page[begin:]))
+            yield "".join(before), "", False, "", len(page)
+            return
+        after = page[at + 1 : at + 2]
+        closing = after == "/"
+        name = _NAME.match(page, at + 2 if closing else at + 1)
+        if not name and after not in ("!", "?"):
+            at += 1
+            continue
+        before.append(html.unescape(page[begin:at]))
+        if not name:
+            opening, end = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(x[0], at)), ("", ">"))
+            stop = page.find(end, at + len(opening) - (opening == "<!--") * 2) if opening else page.find(">", at)
+            stop = len(page) if stop < 0 else stop
+            if opening == "<![CDATA[":
+                before.append(page[at + 9 : stop])
+            at = begin = min(len(page), stop + len(end))
+            continue
+        stop = page.find(">", name.end()) if loose else _INSIDE.match(page, name.end()).end()
+        if stop >= len(page) or page[stop] != ">":
+            # a quote is never closed: from here on quotes mean nothing
+            loose, stop = True, page.find(">", name.end())
+        jump = yield "".join(before), name[0].lower(), closing, page[name.end() : stop], stop + 1
+        before = []
+        at = begin = stop + 1 if jump is None else jump
+
+
+def blocks(page: str) -> list[tuple[str, int, bool]]:
+    """(text, how surely it is template, is in an article or main) of each non-empty block, in page order."""
+    out: list[tuple[str, int, bool]] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, template, article
-    template = article = False
+    stack: list[tuple[str, int, bool]] = []  # tag, template, article
+    open_: dict[str, int] = {}
+    template, article = TEXT, False
 
     def flush() -> None:
         if pieces:
@@ -95,54 +168,54 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             if text:
                 out.append((text, template, article))
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            pieces.append(html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            pieces.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2] or m[5]
+    def pop() -> str:
+        nonlocal template, article
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        template, article = stack[-1][1:] if stack else (TEXT, False)
+        return tag
+
+    walk = _tags(page)
+    before, tag, closing, attrs, at = next(walk)
+    while tag or before:
+        if before:
+            pieces.append(before)
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                pieces.append(m[0][9:].removesuffix("]]>"))
-            continue
-        tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+            break
+        jump = None
         if closing:
             if tag in _BLOCK:
                 flush()
             elif tag == "br":
                 pieces.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    template, article = stack[-1][1:] if stack else (False, False)
-                    break
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            if open_.get(tag):
+                while pop() != tag:
+                    pass
+        elif tag in _RAW:
             if not attrs.endswith("/"):
-                at = end.end() if end else n
-            continue
-        if tag in _BLOCK:
-            flush()
-            if stack and (stack[-1][0] == "p" or tag == "li" == stack[-1][0] or stack[-1][0] in ("dt", "dd", "td", "th", "option") and tag in ("dt", "dd", "td", "th", "tr", "option")):
-                stack.pop()
-                template, article = stack[-1][1:] if stack else (False, False)
-            if tag in ("body", "article", "main") and any(s[0] == "head" for s in stack):
-                del stack[next(k for k, s in enumerate(stack) if s[0] == "head") :]
-                template, article = stack[-1][1:] if stack else (False, False)
-        elif tag in ("br", "img"):
-            pieces.append(" ")
-        if tag in _VOID or attrs.endswith("/"):
-            continue
-        if (own := _is_template(tag, attrs)) and not template and tag not in _BLOCK:
-            flush()
-        template = template or own
-        article = article or tag in ("article", "main") or 'role="main"' in attrs
-        stack.append((tag, template, article))
+                end = _RAW_END[tag].search(page, at)
+                jump = end.end() if end else len(page)
+        else:
+            if tag in _BLOCK:
+                flush()
+                if stack and (stack[-1][0] == "p" or stack[-1][0] in _ENDS.get(tag, ())):
+                    pop()
+                if tag in ("body", "article", "main") and open_.get("head"):
+                    while pop() != "head":
+                        pass
+            elif tag in ("br", "img"):
+                pieces.append(" ")
+            if tag not in _VOID and not attrs.endswith("/"):
+                own = _is_template(tag, attrs, article)
+                if own and not template and tag not in _BLOCK:
+                    flush()
+                if template == FORM and tag in ("article", "main") and not own:
+                    template = TEXT
+                template = max(template, own)
+                article = article or tag in ("article", "main") or 'role="main"' in attrs
+                stack.append((tag, template, article))
+                open_[tag] = open_.get(tag, 0) + 1
+        before, tag, closing, attrs, at = walk.send(jump)
     flush()
     return out
 
@@ -213,19 +286,22 @@ def main_texts(pages: list[tuple[object, list[tuple[str, bool, bool]]]]) -> list
     return _texts([own for _, own in pages], repeated_tokens(streams, page_of), begins)
 
 
-def _texts(pages: list[list[tuple[str, bool, bool]]], covered: list[np.ndarray], begins: list[np.ndarray]) -> list[tuple[str, int]]:
+def _texts(pages: list[list[tuple[str, int, bool]]], covered: list[np.ndarray], begins: list[np.ndarray]) -> list[tuple[str, int]]:
     """The main text of each page's blocks, and how many of its tokens are covered."""
     out = []
     for own, cover, begin in zip(pages, covered, begins, strict=True):
-        marked, texts = any(article and not template for _, template, article in own), []
+        # a form that holds all there is to read wraps the page
+        most = TEXT if any(not template for _, template, _ in own) else FORM
+        kept = []
         for (text, template, article), at in zip(own, begin.tolist(), strict=True):
-            if template:
-                continue
-            if article:
-                texts.append(text)
-            elif not marked:
+            if template <= most:
                 tokens = text.split(" ")
-                texts.append(" ".join(t for t, c in zip(tokens, cover[at + 1 : at + 1 + len(tokens)].tolist(), strict=True) if not c))
+                seen = cover[at + 1 : at + 1 + len(tokens)]
+                kept.append((text if article else " ".join(t for t, c in zip(tokens, seen.tolist(), strict=True) if not c), article))
+        marked = sum(len(t) for t, article in kept if article)
+        beside = sum(len(t) for t, article in kept if not article)
+        # what an article leaves out is text only where it outweighs the article, as beside a teaser
+        texts = [t for t, article in kept if article or beside > marked]
         out.append(("\n".join(t for t in texts if t), int(cover.sum())))
     return out
 
@@ -308,95 +384,119 @@ def _merge_segments(batches):
         yield done()
 
 
-def _suspects(held, bits: int):
-    """(window, page, salt) of the windows that the filter holds, once for each page of a part; column 2 is the page's key.
+def _hits(windows: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
+    place = _place(windows, bits)
+    return (packed[place >> bt.U64(3)] >> (place & bt.U64(7)).astype(np.uint8) & 1).astype(bool)
 
-    A salt over 0 says that the part itself repeats the window; two of its pages go without.
-    """
+
+def _suspects(held, bits: int):
+    """(window, a page, is on two pages) of the windows that the filter holds, once for each part; column 2 is the page's key."""
 
     def run(batches):
         packed = held.value
         for part, _, _, _, windows in _read(batches):
-            own = [np.unique(w) for w in windows]
-            flat, page = np.concatenate(own), np.repeat(part.column(2).to_numpy(), [len(w) for w in own])
-            place = _place(flat, bits)
-            hit = (packed[place >> bt.U64(3)] >> (place & bt.U64(7)).astype(np.uint8) & 1).astype(bool)
+            flat, page = np.concatenate(windows), np.repeat(part.column(2).to_numpy(), [len(w) for w in windows])
+            hit = _hits(flat, packed, bits)
             flat, page = flat[hit].view(np.int64), page[hit]
-            order = np.lexsort((page, flat))
+            if not len(flat):
+                continue
+            order = np.argsort(flat, kind="stable")
             flat, page = flat[order], page[order]
-            new = np.ones(len(flat), dtype=bool)
-            new[1:] = (flat[1:] != flat[:-1]) | (page[1:] != page[:-1])
-            flat, page = flat[new], page[new]
-            # from the third page of a window on
-            salt = np.zeros(len(flat), dtype=np.int32)
-            salt[2:] = np.where(flat[2:] == flat[:-2], 1 + (page[2:] & (SALTS - 1)), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(page), pa.array(salt)], ["window", "page", "salt"])
+            at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            low, high = np.minimum.reduceat(page, at), np.maximum.reduceat(page, at)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[at]), pa.array(low), pa.array(high)], ["window", "low", "high"])
 
     return run
 
 
-def _repeated(batches):
-    """(page, window) of the windows that two pages have; rows are sorted by window and page."""
-    window, page, salt, known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        # a last window of one page so far is carried over
-        window, page, salt = (np.concatenate((x, batch.column(k).to_numpy())) for k, x in enumerate((window, page, salt)))
-        first = np.ones(len(window), dtype=bool)
-        first[1:] = window[1:] != window[:-1]
-        at = np.flatnonzero(first)
-        sizes = np.diff(np.append(at, len(window)))
-        many = (page[at] != page[at + sizes - 1]) | (np.maximum.reduceat(salt, at) > 0)
-        many[0] |= known is not None and window[0] == known
-        keep = np.repeat(many, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(page[keep]), pa.array(window[keep])], ["page", "window"])
-        known = window[-1] if many[-1] else None
-        cut = len(window) if many[-1] else len(window) - 1
-        window, page, salt = window[cut:], page[cut:], salt[cut:]
-
-
-def _extract(batches):
-    """Columns: HTML, host's hash, id, url, and the page's repeated windows."""
-    for part, pages, streams, begins, windows in _read(batches):
-        covered = []
-        for s, w, seen in zip(streams, windows, part.column(4), strict=True):
-            cover = np.zeros(len(s), dtype=bool)
-            if seen.is_valid:
-                for k in np.flatnonzero(np.isin(w, seen.values.to_numpy(zero_copy_only=False).view(np.uint64))).tolist():
-                    cover[k : k + DEPTH] = True
-            covered.append(cover)
-        texts = _texts(pages, covered, begins)
-        yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())], ["id", "url", "text", "n_chars", "n_repeated"])
-
-
-def repeated_windows(rows: DataFrame, bits: int | None = None) -> DataFrame:
-    """(page, its windows that another page of the host has too) of rows with ``html``, ``host`` and ``page``."""
-    if bits is None:
-        size = rows.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0
-        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * size).bit_length()))
-    read = rows.select("html", "host", "page")
-    marks = read.mapInArrow(_mark(bits), "segment int, once binary, twice binary")
-    merged = marks.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_segments, "segment int, twice binary")
-    packed = np.zeros(bits // 8, dtype=np.uint8)
-    for r in merged.toLocalIterator():
-        packed[r["segment"] * SEGMENT_BITS // 8 : (r["segment"] + 1) * SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(packed)
-    suspects = read.mapInArrow(_suspects(held, bits), "window long, page long, salt int")
-    often = suspects.repartition("window", "salt").sortWithinPartitions("window", "page").mapInArrow(_repeated, "page long, window long")
-    return often.groupBy("page").agg(F.collect_set("window").alias("windows"))
-
-
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bits: int | None = None) -> DataFrame:
+def _page_windows(held, bits: int):
+    """(page, window) of the windows that the filter holds, once for each page of a part."""
+
+    def run(batches):
+        packed = held.value
+        for part, _, _, _, windows in _read(batches):
+            keys, first = np.unique(part.column(2).to_numpy(), return_index=True)
+            for key, k in zip(keys.tolist(), first.tolist(), strict=True):
+                own = np.unique(windows[k])
+                own = own[_hits(own, packed, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key, np.int64)), pa.array(own.view(np.int64))], ["page", "window"])
+
+    return run
+
+
+def _extract(known):
+    """Columns: HTML, host's hash, id, url, and the page's repeated windows unless all ``known`` ones are broadcast."""
+
+    def run(batches):
+        every = None if known is None else known.value
+        for part, pages, streams, begins, windows in _read(batches):
+            covered = []
+            for k, (s, w) in enumerate(zip(streams, windows, strict=True)):
+                cover = np.zeros(len(s) + 1, dtype=np.int32)
+                if every is None:
+                    seen = part.column(4)[k]
+                    own = np.sort(seen.values.to_numpy(zero_copy_only=False).view(np.uint64)) if seen.is_valid else np.zeros(0, np.uint64)
+                else:
+                    own = every
+                if len(own) and len(w):
+                    hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, w), len(own) - 1)] == w)
+                    cover[hit] += 1
+                    cover[hit + DEPTH] -= 1
+                covered.append(np.cumsum(cover[:-1]) > 0)
+            texts = _texts(pages, covered, begins)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(2), part.column(3), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())],
+                ["id", "url", "text", "n_chars", "n_repeated"],
+            )
+
+    return run
+
+
+class Repeats:
+    """The windows that two pages of a host have (``windows``), of rows with ``html``, ``host`` and ``page``."""
+
+    def __init__(self, rows: DataFrame, bits: int | None = None):
+        if bits is None:
+            size = rows.agg(F.sum(F.octet_length("html")).alias("n")).first()["n"] or 0
+            bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * size).bit_length()))
+        self.rows, self.bits = rows.select("html", "host", "page"), bits
+        marks = self.rows.mapInArrow(_mark(bits), "segment int, once binary, twice binary")
+        merged = marks.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_segments, "segment int, twice binary")
+        packed = np.zeros(bits // 8, dtype=np.uint8)
+        for r in merged.toLocalIterator():
+            packed[r["segment"] * SEGMENT_BITS // 8 : (r["segment"] + 1) * SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
+        self.held = rows.sparkSession.sparkContext.broadcast(packed)
+        suspects = self.rows.mapInArrow(_suspects(self.held, bits), "window long, low long, high long")
+        # sums of a task come first, so a window of a hot host is a row for each task
+        self.windows = materialize(suspects.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("window"), "repeated-windows")
+
+    def broadcast(self, most: int):
+        """All windows, sorted, if they are ``most`` at most; else nothing."""
+        if self.windows.count() > most:
+            return None
+        found = self.windows.toArrow()["window"].to_numpy().view(np.uint64)
+        return self.rows.sparkSession.sparkContext.broadcast(np.sort(found))
+
+    def by_page(self) -> DataFrame:
+        """(of, windows): each page's repeated windows, by a shuffle; the windows of hot hosts are met on ``SALTS`` places."""
+        own = self.rows.mapInArrow(_page_windows(self.held, self.bits), "page long, window long").withColumn("salt", F.pmod("page", F.lit(SALTS)))
+        often = self.windows.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        return own.join(often.hint("merge"), ["window", "salt"], "left_semi").groupBy(F.col("page").alias("of")).agg(F.collect_set("window").alias("windows"))
+
+
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bits: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Per page: id, url, main ``text``, ``n_chars`` and ``n_repeated``, the tokens that substrings shared by the host's pages cover."""
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     rows = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(host).alias("host"), F.col(id_col).alias("id"), url.alias("url"))
     rows = rows.withColumn("page", F.xxhash64("host", "html"))
-    found = repeated_windows(rows, bits).withColumnRenamed("page", "of")
+    repeats = Repeats(rows, bits)
+    known = repeats.broadcast(most_broadcast)
     kind = pages.schema[id_col].dataType.simpleString()
-    out = rows.join(found, F.col("page") == F.col("of"), "left").select("html", "host", "id", "url", "windows")
-    return out.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long, n_repeated long").withColumnRenamed("id", id_col)
+    out = rows.select("html", "host", "id", "url")
+    if known is None:
+        out = rows.join(repeats.by_page(), F.col("page") == F.col("of"), "left").select("html", "host", "id", "url", "windows")
+    return out.mapInArrow(_extract(known), f"id {kind}, url string, text string, n_chars long, n_repeated long").withColumnRenamed("id", id_col)
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

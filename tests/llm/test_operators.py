@@ -161,22 +161,65 @@ def test_repeats_are_those_of_the_whole_host(spark):
         assert all(t == story(min(i, 1000)) for i, (t, _) in got.items())
 
 
-def test_repeated_windows_across_batches():
-    import pyarrow as pa
-
-    rows = [(1, 5, 0), (1, 5, 0), (2, 3, 0), (2, 9, 0), (2, 11, 0), (3, 4, 0), (4, 1, 7), (5, 2, 0), (5, 8, 0), (6, 1, 0)]
-    want = [(p, w) for w, p, _ in rows if w in (2, 4, 5)]
-    for size in (1, 2, 3, 10):
-        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["window", "page", "salt"]) for k in range(0, len(rows), size)]
-        assert [(p, w) for b in html_extract._repeated(parts) for p, w in zip(b["page"].to_pylist(), b["window"].to_pylist(), strict=True)] == want
+def dealt(n: int, marked: bool):
+    """Pages of two hosts, with menus, stories and a closing line, most without an article."""
+    out = []
+    for i in range(n):
+        story = "".join(f"<p>{' '.join(f's{i}x{k}w{j}' for j in range(12 + i % 5))}</p>" for k in range(4))
+        body = f"<div>Welcome to the best shop of all towns on earth {'today' if i % 2 else ''}</div><div>{story}</div><div>All rights are reserved by the owners of this very old shop</div>"
+        out.append((i, f"http://{'hot' if i % 3 else 'h'}.example/{i}", page(f"<article>{story}</article><div>Welcome to the best shop</div>" if marked and i % 7 == 0 else body)))
+    return out
 
 
 def test_repeats_dont_depend_on_how_pages_are_dealt(spark, data):
+    rows = spark.createDataFrame(dealt(220, True), "page_id long, url string, html string")
+    got = [sorted(map(tuple, html_extract.extract(rows.repartition(n), bits=bits, most_broadcast=most).collect())) for n, bits, most in ((2, None, 1 << 20), (7, 1 << 16, 0), (200, None, 1 << 20))]
+    assert got[0] == got[1] == got[2]
+    for i, _, text, n, _ in got[0]:
+        assert text == "\n".join(" ".join(f"s{i}x{k}w{j}" for j in range(12 + i % 5)) for k in range(4)) and n == len(text)
     pages = table(spark, data, "pages")
     one, many = (sorted(map(tuple, html_extract.extract(pages.repartition(n)).collect())) for n in (1, 9))
     assert one == many
 
 
+def test_both_ways_of_repeats_are_those_of_the_suffix_array(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        tokens = [f"t{x}" for x in rng.integers(0, 3, rng.integers(0, 60))]
+        rows.append((i, "http://h.example/", "<p>" + "<p>".join(" ".join(tokens[k : k + 15]) for k in range(0, len(tokens), 15))))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    # copies of a page count as one
+    distinct = {h: k for k, (_, _, h) in enumerate(rows)}
+    want = html_extract.main_texts([(distinct[h], html_extract.blocks(h)) for _, _, h in rows])
+    for most in (0, 1 << 20):
+        got = sorted((r.page_id, r.text, r.n_repeated) for r in html_extract.extract(docs, most_broadcast=most).collect())
+        assert got == [(i, *want[i]) for i in range(40)] and any(t for t, _ in want) and any(n for _, n in want)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", "<a '>' ", "<svg/>", "</p>", "<div>", "<!--", "<p class='", '<a b="c" \'', "<p>x</q>", "&amp", "<![CDATA[", "<li><b>", "<a\t \n"])
+def test_reading_takes_linear_time(piece):
+    import time
+
+    made = "<article><p>first</p>" + piece * (1_000_000 // len(piece)) + '"'
+    began = time.perf_counter()
+    assert html_extract.blocks(made)[0] == ("first", 0, True)
+    assert time.perf_counter() - began < 4
+
+
+def test_what_an_article_keeps():
+    read = lambda body: html_extract.main_texts([(1, html_extract.blocks(page(body)))])[0][0]
+    assert read("<article><p>Let <math><mi>x</mi></math> be</article>") == "Let x be"
+    assert read('<header>site</header><article><header><h1>Title</h1></header><p class="share">share of the market</p><p class="no-ads">free</p><footer>f</footer></article>') == "Title\nshare of the market\nfree"
+    assert read("<form id=all><nav>menu</nav><article><p>text</p><form><p>your name</p></form></article></form>") == "text"
+    assert read("<form><div>" + "unmarked page in a form<p>two</p></div></form>") == "unmarked page in a form\ntwo"
+    assert read("<div>main text</div><form><p>your name</p></form>") == "main text"
+    assert read('<div class="has-sidebar"><article><p>in</p><div class="cookie-notice">we use</div><div class="ad-slot">buy</div><section id="comments"><article class="comment">me</article></section></article></div>') == "in"
+    assert read("<article><p>teaser</p></article><div>a main text that is far longer than the teaser</div>") == "teaser\na main text that is far longer than the teaser"
+    assert read("<article><p>a text that is longer than what is beside it</p></article><div>beside</div>") == "a text that is longer than what is beside it"
+    assert read("<article><xmp>as it is</xmp><ul><li>one<li>two<ul><li>three</ul></ul><table><tr><td>a<td>b</table></article>") == "as it is\none\ntwo\nthree\na\nb"
+
+
 # -- 3 media
 
 
