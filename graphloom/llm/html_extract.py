@@ -9,7 +9,8 @@ Markup is checked after that, and outranks repeats where it speaks: blocks in
 menus, page headers, footers, sidebars, notices, adverts, forms and reader
 comments go even if they are unique, and blocks of an ``article`` or ``main``
 stay even if other pages hold them, since a copied article, or a passage that
-many articles share, is content.  A page without a marked article keeps the
+many articles share, is content; so repeats are looked for in all other blocks.
+A page without a marked article keeps the
 unique runs of what isn't template, and so does one whose marked article is less
 than these.  A form is entered where it wraps an article or the whole page.
 
@@ -278,11 +279,16 @@ def _streams(pages: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]
     return [flat[begin[a] : begin[b]] for a, b in zip(cut[:-1], cut[1:], strict=True)], [begin[a:b] - begin[a] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def main_texts(pages: list[tuple[object, list[tuple[str, bool, bool]]]]) -> list[tuple[str, int]]:
+def _searched(pages: list[list[tuple[str, int, bool]]]) -> list[list[str]]:
+    """The blocks that repeats are looked for in: those of articles stay whatever else holds them."""
+    return [[t for t, _, article in own if not article] for own in pages]
+
+
+def main_texts(pages: list[tuple[object, list[tuple[str, int, bool]]]]) -> list[tuple[str, int]]:
     """The main text of each (page id, blocks) of a host, and how many of the page's tokens the host repeats."""
     numbers: dict[object, int] = {}
     page_of = np.array([numbers.setdefault(p, len(numbers)) for p, _ in pages])
-    streams, begins = _streams([[t for t, _, _ in own] for _, own in pages])
+    streams, begins = _streams(_searched([own for _, own in pages]))
     return _texts([own for _, own in pages], repeated_tokens(streams, page_of), begins)
 
 
@@ -292,12 +298,15 @@ def _texts(pages: list[list[tuple[str, int, bool]]], covered: list[np.ndarray],
     for own, cover, begin in zip(pages, covered, begins, strict=True):
         # a form that holds all there is to read wraps the page
         most = TEXT if any(not template for _, template, _ in own) else FORM
-        kept = []
-        for (text, template, article), at in zip(own, begin.tolist(), strict=True):
-            if template <= most:
+        kept, places = [], iter(begin.tolist())
+        for text, template, article in own:
+            at = 0 if article else next(places)
+            if template > most:
+                continue
+            if not article:
                 tokens = text.split(" ")
-                seen = cover[at + 1 : at + 1 + len(tokens)]
-                kept.append((text if article else " ".join(t for t, c in zip(tokens, seen.tolist(), strict=True) if not c), article))
+                text = " ".join(t for t, c in zip(tokens, cover[at + 1 : at + 1 + len(tokens)].tolist(), strict=True) if not c)
+            kept.append((text, article))
         marked = sum(len(t) for t, article in kept if article)
         beside = sum(len(t) for t, article in kept if not article)
         # what an article leaves out is text only where it outweighs the article, as beside a teaser
@@ -315,7 +324,7 @@ def _read(batches):
             if size > PART_CHARS or k == len(htmls) - 1:
                 part = batch.slice(begin, k + 1 - begin)
                 pages = [blocks(x or "") for x in htmls[begin : k + 1]]
-                streams, begins = _streams([[t for t, _, _ in own] for own in pages])
+                streams, begins = _streams(_searched(pages))
                 hosts = part.column(1).to_numpy().view(np.uint64)
                 windows = [bt.mix64(bt.window_hashes(s.view(np.uint64), DEPTH) ^ h) for s, h in zip(streams, hosts, strict=True)]
                 yield part, pages, streams, begins, windows
@@ -384,16 +393,33 @@ def _merge_segments(batches):
         yield done()
 
 
+class _Filter:
+    """Packed bits that travel compressed, and are unpacked once in each worker."""
+
+    def __init__(self, segments: dict[int, bytes], bits: int):
+        self.segments, self.bits, self._packed = segments, bits, None
+
+    def __getstate__(self):
+        return {"segments": self.segments, "bits": self.bits, "_packed": None}
+
+    def packed(self) -> np.ndarray:
+        if self._packed is None:
+            self._packed = np.zeros(self.bits // 8, dtype=np.uint8)
+            for k, raw in self.segments.items():
+                self._packed[k * SEGMENT_BITS // 8 : (k + 1) * SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(raw), np.uint8)
+        return self._packed
+
+
 def _hits(windows: np.ndarray, packed: np.ndarray, bits: int) -> np.ndarray:
     place = _place(windows, bits)
     return (packed[place >> bt.U64(3)] >> (place & bt.U64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _suspects(held, bits: int):
-    """(window, a page, is on two pages) of the windows that the filter holds, once for each part; column 2 is the page's key."""
+    """(window, page) of the windows that the filter holds, for a part's first and last page at most; column 2 is the page's key."""
 
     def run(batches):
-        packed = held.value
+        packed = held.value.packed()
         for part, _, _, _, windows in _read(batches):
             flat, page = np.concatenate(windows), np.repeat(part.column(2).to_numpy(), [len(w) for w in windows])
             hit = _hits(flat, packed, bits)
@@ -404,7 +430,8 @@ def _suspects(held, bits: int):
             flat, page = flat[order], page[order]
             at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
             low, high = np.minimum.reduceat(page, at), np.maximum.reduceat(page, at)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[at]), pa.array(low), pa.array(high)], ["window", "low", "high"])
+            two = low < high
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((flat[at], flat[at][two]))), pa.array(np.concatenate((low, high[two])))], ["window", "page"])
 
     return run
 
@@ -413,7 +440,7 @@ def _page_windows(held, bits: int):
     """(page, window) of the windows that the filter holds, once for each page of a part."""
 
     def run(batches):
-        packed = held.value
+        packed = held.value.packed()
         for part, _, _, _, windows in _read(batches):
             keys, first = np.unique(part.column(2).to_numpy(), return_index=True)
             for key, k in zip(keys.tolist(), first.tolist(), strict=True):
@@ -462,13 +489,10 @@ class Repeats:
         self.rows, self.bits = rows.select("html", "host", "page"), bits
         marks = self.rows.mapInArrow(_mark(bits), "segment int, once binary, twice binary")
         merged = marks.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_segments, "segment int, twice binary")
-        packed = np.zeros(bits // 8, dtype=np.uint8)
-        for r in merged.toLocalIterator():
-            packed[r["segment"] * SEGMENT_BITS // 8 : (r["segment"] + 1) * SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
-        self.held = rows.sparkSession.sparkContext.broadcast(packed)
-        suspects = self.rows.mapInArrow(_suspects(self.held, bits), "window long, low long, high long")
+        self.held = rows.sparkSession.sparkContext.broadcast(_Filter({r["segment"]: bytes(r["twice"]) for r in merged.toLocalIterator()}, bits))
+        suspects = self.rows.mapInArrow(_suspects(self.held, bits), "window long, page long")
         # sums of a task come first, so a window of a hot host is a row for each task
-        self.windows = materialize(suspects.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("window"), "repeated-windows")
+        self.windows = materialize(suspects.groupBy("window").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low < high").select("window"), "repeated-windows")
 
     def broadcast(self, most: int):
         """All windows, sorted, if they are ``most`` at most; else nothing."""
