@@ -322,6 +322,41 @@ def test_personal_data_of_documents(spark, data, pii_model):
     assert all(r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(docs[r.doc_id]))) for r in got)
 
 
+def test_trees_find_what_is_planted(spark, pii_model):
+    """New examples, other seed: plain ones and ones in the words of documents."""
+    pieces = tuple(pii.contexts(table(spark, "/root/testdata/sf0.01", "documents"), sample=200))
+    assert 50 < len(pieces) <= 400 and all(len(x) <= 80 for x in pieces)
+    made = pii.examples(900, 99) + pii.examples(900, 98, pieces)
+    caught, false, n = Counter(), Counter(), Counter()
+    for r in pii.find(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(made)], "doc_id long, text string"), pii_model).collect():
+        _, kind, yes = made[r.doc_id]
+        n[kind, yes] += 1
+        caught[kind] += bool(yes and any(s.kind == kind for s in r.spans))
+        false[kind] += bool(not yes and any(s.kind == kind and s not in r.base for s in r.spans))
+    for kind in pii.ALL:
+        assert caught[kind] >= 0.9 * n[kind, 1] and false[kind] <= 0.1 * n[kind, 0], (kind, caught[kind], false[kind])
+
+
+def test_trees_add_secrets_of_documents(spark):
+    small = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in table(spark, small, "documents").collect()}
+    got = {r.doc_id: r for r in pii.op5_personal_data(spark, small).collect()}
+    want = {d: {(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)} for d, t in docs.items()}
+    assert sum(map(len, want.values())) > 5
+    for d, spans in want.items():
+        own = {tuple(map(int, s.split(":")[1:])) for s in got[d].spans.split(",") if s.startswith("secret")}
+        assert own == spans
+    assert all(r.n_spans == len([s for s in r.spans.split(",") if s]) for r in got.values())
+
+
+def test_personal_data_of_long_texts(spark, pii_model):
+    many = "a1@b.co 4111 1111 1111 1111, " * 20_000
+    long = "x" * 2_000_000 + " a@b.co " + "7" * 100_000 + " " + "A-" * 50_000 + " b@c.de"
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame([(1, many), (2, long)], "doc_id long, text string"), pii_model).collect()}
+    assert (rows[1].n_email, rows[1].n_card) == (20_000, 20_000) and [tuple(s) for s in rows[1].base][:1] == [("email", 0, 7)] and tuple(rows[1].base[-1]) == ("card", len(many) - 21, len(many) - 2)
+    assert rows[2].n_email == 2
+
+
 def test_boosting_learns():
     x = np.random.default_rng(0).normal(size=(400, 4))
     y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
