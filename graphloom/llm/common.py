@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import bytetext as bt
 from graphloom.scratch import materialize, shared_dir
 
-__all__ = ["fresh", "grouped", "list_array", "materialize", "shared_dir", "sliced", "table"]
+__all__ = ["fresh", "grouped", "list_array", "logistic", "materialize", "shared_dir", "sliced", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +65,15 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     if rest:
         t = pa.Table.from_batches(rest).combine_chunks()
         yield t, cut(t)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic model, by Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

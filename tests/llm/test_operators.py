@@ -263,6 +263,51 @@ def test_language_id_held_out(spark, data):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+STRANGE = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "asdkjh qwlekj zxmcnb qpwoei rutyal skdjfh gmznxb vqowie urytpa lskdjf hgzmxn", "xq zvkj wqpx zzvkq kjhx qqwz",
+]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_language_id_rejects_what_it_has_not_learnt(spark, sf):
+    docs = table(spark, f"/root/testdata/sf{sf}", "documents")
+    model = langid.fit_documents(docs, langid.remainder("doc_id", 3) != 1)
+    assert model.false_accept <= 0.02
+    strange = spark.createDataFrame(list(enumerate(STRANGE)), "doc_id long, text string")
+    assert all(r.rejected for r in langid.identify(strange, model).collect()) and langid.keep_accepted(strange, model).count() == 0
+    got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(langid.remainder("doc_id", 3) == 1).collect()
+    assert np.mean([r.rejected for r in got]) <= 0.005 and np.mean([r.lang_pred == r.lang for r in got if r.lang]) >= 0.99
+
+
+def test_language_id_scores_against_a_plain_reading(spark, data):
+    """The table's means, subword by subword."""
+    docs = table(spark, data, "documents")
+    model = langid.fit_documents(docs, langid.remainder("doc_id", 3) != 1)
+    many = len(model.langs)
+
+    def plain(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in text or "").encode()
+        grams = [(b" " + w + b" ")[k : k + n] for w in re.findall(rb"[a-z\x80-\xff]+", low) for n in langid.SIZES for k in range(len(w) - n + 3)]
+        if not grams or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        ids = np.array([bucket(g) for g in grams])
+        z = model.table[ids, :many].astype(float).mean(axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return model.langs[int(p.argmax())], float(p.max())
+
+    def bucket(g):
+        x = len(g)
+        for c in g:
+            x = (x ^ c) * 0x01000193 & 0xFFFFFFFF
+        return ((x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 18
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.op4_language_id(spark, data).collect():
+        lang, score = plain(texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)
+
+
 def test_language_id_on_odd_rows(spark, odd_docs, no_docs, data):
     model = langid.fit_documents(table(spark, data, "documents"), F.lit(True), sample=100)
     got = [(r.text, r.lang_pred, r.rejected, r.score) for r in odd_docs.join(langid.identify(odd_docs, model), "doc_id").collect()]
@@ -390,10 +435,14 @@ def test_maximal_segments_against_the_definition():
     assert toxicity.maximal_segments(np.array([-1.0, -2.0])) == []
 
 
-def test_lambda_solves_its_equation():
-    s, w = np.array([-1.0, 0.5, 2.0]), np.array([80.0, 15.0, 5.0])
-    lam = toxicity.karlin_lambda(s, w)
-    assert abs((w / w.sum()) @ np.exp(lam * s) - 1) < 1e-6
+def test_extremes_are_fitted():
+    rng = np.random.default_rng(5)
+    words, lam, k = rng.integers(20, 2000, 4000), 1.7, 0.02
+    # the inverse of exp(-K n e^(-lambda S)), which is below 0 where there is no segment
+    best = np.maximum(np.log(-k * words / np.log(rng.random(4000))) / lam, 0)
+    got = toxicity.fit_extremes(best, words)
+    assert got[0] == pytest.approx(lam, rel=0.1) and got[1] == pytest.approx(k, rel=0.2)
+    assert toxicity.fit_extremes(np.zeros(3), np.array([1, 2, 0])) == (toxicity.LAMBDA, toxicity.K)
 
 
 def test_toxicity(spark, odd_docs, no_docs):
@@ -417,22 +466,66 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(odd_docs, None).collect()} == {0.0}
 
 
-def test_few_toxic_documents_make_a_token_count():
-    other, toxic = np.array([297, 0, 30, 0, 0]), np.array([32, 14, 3, 4, 1])
-    assert (toxicity.token_scores(other, toxic) > 0).tolist() == [False, True, False, True, False]
+def test_priors_form_a_chain():
+    # columns: a common word, a toxic word, an unseen form of a toxic stem, a rare word, a seen one of a mixed stem
+    other = np.array([[300, 0, 2, 1, 500], [300, 0, 0, 1, 90], [300, 0, 0, 1, 0]])
+    toxic = np.array([[33, 40, 60, 1, 60], [33, 40, 50, 1, 30], [33, 40, 0, 1, 30]])
+    s = toxicity.token_scores(other, toxic, 0.1)
+    assert (s > 0).tolist() == [False, True, True, False, True]
 
 
-def test_toxicity_held_out_on_a_small_table(spark):
-    small = "/root/testdata/sf0.01"
-    labels = {r.doc_id: r.toxic for r in table(spark, small, "labels").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).collect()}
-    held = [r for r in toxicity.op6_toxicity(spark, small).collect() if r.held_out and r.doc_id in labels]
-    words = {"trash", "scum", "idiot", "clown", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting"}
-    texts = {r.doc_id: set(re.findall(r"[a-z]+", (r.text or "").lower())) for r in table(spark, small, "documents").collect()}
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_toxicity_held_out(spark, sf):
+    at = f"/root/testdata/sf{sf}"
+    labels = {r.doc_id: r.toxic for r in table(spark, at, "labels").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).collect()}
+    held = [r for r in toxicity.op6_toxicity(spark, at).collect() if r.held_out and r.doc_id in labels]
     toxic = [r for r in held if labels[r.doc_id]]
-    # some labelled as toxic have no word of the kind
-    spoken = [r for r in toxic if len(words & texts[r.doc_id]) >= 2]
-    assert len(spoken) >= 3 and all(r.predicted and r.n_passages for r in spoken)
-    assert np.mean([r.predicted for r in held if not labels[r.doc_id]]) <= 0.05
+    # on the small table the held-out toxic documents are six
+    assert len(toxic) >= 6 and np.mean([r.predicted for r in toxic]) >= (0.9 if sf == "0.1" else 0.6)
+    assert all(r.n_passages for r in toxic if r.predicted)
+    assert np.mean([r.predicted for r in held if not labels[r.doc_id]]) <= 0.02
+
+
+def test_toxicity_against_a_plain_score(spark):
+    at = "/root/testdata/sf0.001"
+    docs, labels = table(spark, at, "documents"), table(spark, at, "labels")
+    model = toxicity.fit_documents(docs, labels, langid.remainder("doc_id", 5) != 0)
+    key = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id").cast("string")), F.lit(3)) != 0
+    learn = docs.join(labels.where("toxic is not null"), "doc_id").where(langid.remainder("doc_id", 5) != 0).where(key).select("text", "toxic").collect()
+    counts = [[Counter(), Counter()] for _ in toxicity.PREFIXES]
+    for r in learn:
+        own = {w.encode() for w in words(r.text)}
+        for k, size in enumerate(toxicity.PREFIXES):
+            counts[k][r.toxic].update({w[:size] for w in own})
+    share = sum(r.toxic for r in learn) / len(learn)
+    assert model.share == pytest.approx(share)
+
+    def token(w):
+        theta = share
+        for k, size in enumerate(toxicity.PREFIXES):
+            yes, no = (counts[k][y][w[:size]] + toxicity.PRIOR * p for y, p in ((1, theta), (0, 1 - theta)))
+            theta = yes / (yes + no)
+        odds = math.log(theta / (1 - theta)) - math.log(share / (1 - share))
+        odds = math.copysign(max(abs(odds) - toxicity.SHRINK * math.sqrt(1 / yes + 1 / no), 0), odds)
+        return min(max(odds, toxicity.LEAST), toxicity.MOST) - toxicity.DRIFT
+
+    def plain(text):
+        s = [token(w.encode()) for w in words(text)]
+        floor = -math.log(model.k * max(len(s), 1))
+        # the best segments lie in runs that hold a positive score: cut the rest for the brute force
+        stats = [model.lam * x + floor for _, _, x in toxicity.maximal_segments(np.array(s))] if s else []
+        if 0 < len(s) <= 60:
+            assert sorted(model.lam * x + floor for _, _, x in brute_segments(s)) == pytest.approx(sorted(stats), abs=1e-3)
+        best, total = max([floor, *stats]), sum(x for x in stats if x > -math.log(toxicity.EXPECT))
+        z = float(np.array([1, min(max(best, -10), 30) / 10, math.log1p(total)]) @ model.weights)
+        return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.op6_toxicity(spark, at).collect()
+    assert len(got) == len(texts)
+    off = [abs(r.score - plain(texts[r.doc_id])) for r in got]
+    # words that share a bucket of 2^20 may differ
+    assert np.mean(np.array(off) < 1e-6) > 0.98
 
 
 # -- 7 near duplicates
