@@ -4,11 +4,15 @@
 PPM, plain and raw; BMP of 8, 24 or 32 bits, uncompressed) to a numpy array,
 resizes it by exact area means taken from an integral image, and returns the
 tile as NPY bytes and a difference hash.  ``text_media`` stores texts as raw
-PGM images of 64 samples a row, which is lossless.
+PGM (or 8-bit BMP) images of 64 samples a row, which is lossless.
+
+Texts are taken in slices of 1 MB; a very long text is a slice of its own, and
+takes some four times its bytes (read, padded, stored, read back).
 
 Defined cases: a null or empty text is one row of 64 zero samples; a null or
-unreadable image has null features and a reason in ``error``; equal media have
-equal features; extra columns are ignored.
+unreadable image has null features and a reason in ``error``; equal media, and
+so repeated rows, have equal features; an empty table gives an empty one; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import sliced, table
 
 ROW = 64
 TILE = (8, 9)
@@ -104,19 +108,28 @@ def decode(raw: bytes) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, by an integral image that is read at fractional corners."""
-    grey = image.astype(np.float64) if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
-    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
-    np.cumsum(np.cumsum(grey, axis=0), axis=1, out=total[1:, 1:])
-    y, x = np.linspace(0, grey.shape[0], height + 1), np.linspace(0, grey.shape[1], width + 1)
+    """Means over equal areas, from an integral image at fractional corners.
+
+    Only those rows of the integral image are made that corners lie in, so the
+    work memory is that of a few rows, however long the image is.
+    """
+    rows, columns = image.shape[:2]
+    y, x = np.linspace(0, rows, height + 1), np.linspace(0, columns, width + 1)
 
     def at(axis: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         low = np.minimum(axis.astype(np.int64), most - 1)
         return low, axis - low
 
-    (y0, fy), (x0, fx) = at(y, grey.shape[0]), at(x, grey.shape[1])
-    rows = total[y0] * (1 - fy)[:, None] + total[y0 + 1] * fy[:, None]
-    corners = rows[:, x0] * (1 - fx) + rows[:, x0 + 1] * fx
+    def grey(line: np.ndarray) -> np.ndarray:
+        return line if image.ndim == 2 else line[:, :3] @ np.array([0.299, 0.587, 0.114])
+
+    (y0, fy), (x0, fx) = at(y, rows), at(x, columns)
+    total, above, done = np.zeros((height + 1, columns + 1)), np.zeros(image.shape[1:]), 0
+    for k, (row, part) in enumerate(zip(y0.tolist(), fy.tolist(), strict=True)):
+        above = above + image[done:row].sum(axis=0, dtype=np.int64)
+        done = row
+        np.cumsum(grey(above + part * image[row].astype(np.float64)), out=total[k, 1:])
+    corners = total[:, x0] * (1 - fx) + total[:, x0 + 1] * fx
     sums = corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
     return sums / (np.diff(y)[:, None] * np.diff(x)[None, :])
 
@@ -162,41 +175,43 @@ def media_features(df: DataFrame, media_col: str = "media", keep: tuple[str, ...
     return df.select(*keep, F.col(media_col)).mapInArrow(run, f"{kept}height int, width int, channels int, tile binary, feature string, error string")
 
 
-def _store_and_read(batches):
-    """Texts to stored PGM images, and what those give when read back."""
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary()) if not pa.types.is_large_string(batch.column(1).type) else batch.column(1).cast(pa.large_binary())
-        n_bytes, size, sha, crc, media_size, media_sha, feature, tiles, stored = ([] for _ in range(9))
-        for raw in texts.to_pylist():
-            raw = raw or b""
-            payload = raw + bytes(-len(raw) % ROW or (0 if raw else ROW))
-            media = encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, ROW))
-            image, small, mark = features(media)
-            back = image.tobytes()
-            n_bytes.append(len(raw))
-            size.append(len(back))
-            sha.append(hashlib.sha256(back).hexdigest())
-            crc.append(zlib.crc32(back[-ROW:]))
-            media_size.append(len(media))
-            media_sha.append(hashlib.sha256(media).hexdigest())
-            feature.append(mark)
-            tiles.append(npy_bytes(small))
-            stored.append(media)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-        cols = [n_bytes, size, sha, crc, media_size, media_sha, feature, tiles, stored]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", *_STORED])
-
-
-_STORED = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile", "media"]
-
-
-def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as a stored PGM image (``media``), its tile as NPY bytes, and the digests of what is read back."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_store_and_read, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary, media binary")
+FORMATS = {"pgm": encode_pgm, "bmp": encode_bmp}
+_STORED = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "tile": pa.binary(), "media": pa.binary()}
+
+
+def _store_and_read(kind: str, names: list[str]):
+    """Texts (column 1) to stored images, and what those give when read back; the media itself only if it is asked for."""
+
+    def run(batches):
+        for batch, data, offs in sliced(batches, 1):
+            made: dict[str, list] = {n: [] for n in names}
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                size = b - a
+                payload = np.zeros(max(ROW, -(-size // ROW) * ROW), np.uint8)
+                payload[:size] = data[a:b]
+                media = FORMATS[kind](payload.reshape(-1, ROW))
+                del payload
+                image, small, mark = features(media)
+                back = np.ascontiguousarray(image).reshape(-1)
+                row = {
+                    "n_bytes": size, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-ROW:]),
+                    "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": mark, "tile": npy_bytes(small), "media": media,
+                }
+                for n in names:
+                    made[n].append(row[n])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[n], _STORED[n]) for n in names)], ["id", *names])
+
+    return run
+
+
+def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kind: str = "pgm", with_media: bool = True) -> DataFrame:
+    """Each text as a stored image (``media``, of ``kind`` pgm or bmp), its tile as NPY bytes, and the digests of what is read back."""
+    names = [n for n in _STORED if with_media or n != "media"]
+    schema = ", ".join(f"{n} {'long' if _STORED[n] == pa.int64() else 'binary' if _STORED[n] == pa.binary() else 'string'}" for n in names)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_store_and_read(kind, names), f"id {docs.schema[id_col].dataType.simpleString()}, {schema}")
     return out.withColumnRenamed("id", id_col)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digests of all ``documents`` stored as media, with their NPY tiles."""
-    return text_media(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
+    return text_media(table(spark, sf_dir, "documents").select("doc_id", "text"), with_media=False)

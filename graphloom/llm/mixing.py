@@ -3,16 +3,20 @@
 The words of each source are one stream, in chunks by document hash, packed
 into blocks of ``BLOCK`` words (the last one is shorter).  A source's target
 gives its number of slots; each output shard draws its source counts from the
-multinomial, given the sources' totals.  Slots are numbered within their
-source, mapped to blocks through a pseudorandom permutation of the block
-numbers, one for each pass over the source, and joined to the blocks by that
-number.  A source's last slot is cut to length, so it gives its target to the
-word.
+multinomial, given the sources' totals: first groups of shards, then the shards
+of a group, both in tasks.  Slots are numbered within their source, mapped to
+blocks through a pseudorandom permutation of the block numbers, one for each
+pass over the source, and joined to the blocks by that number.  A source's last
+slot is cut to length, so it gives its target to the word.
+
+The driver holds one row for each source, ``MOST_SOURCES`` at most (some 100 MB);
+it refuses more.  Shards have no bound.
 
 Defined cases: a null or blank text has no words and gives none; null is a
 source, the last; a source without words has the target 0; rows of one id are
-separate documents of the stream; no document is taken more than twice;
-extra columns are ignored.
+separate documents of the stream, and of equal rows it isn't told which is
+which; an empty table gives an empty one; a very long text is counted whole; no
+document is taken more than twice; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,11 @@ BLOCK = 256
 SHARD_SLOTS = 4096
 #: A task makes about so many slots.
 TASK_SLOTS = 50_000
-MOST_SHARDS = 4096
+#: Partitions of the slots at most: beyond, a task makes more slots, one after the other.
+MOST_TASKS = 20_000
+#: Shards that are drawn together.
+GROUP_SHARDS = 8
+MOST_SOURCES = 500_000
 #: A chunk has about 4 sqrt(documents), so chunks are as many as their size allows to add up in one window.
 LEAST_CHUNK_DOCS = 1_000
 WEIGHTS = (5, 2, 1)
@@ -87,14 +95,40 @@ def slot_plan(size: int, target: int, block: int = BLOCK) -> tuple[int, int, int
     return full, blocks, passes * blocks + some + (last > 0), last
 
 
+def _draws(shards: int, seed: int):
+    """The slots that groups of shards draw of each source: rows of the source, the group, the first slot's number and how many."""
+
+    def run(batches):
+        groups = -(-shards // GROUP_SHARDS)
+        sizes = np.full(groups, GROUP_SHARDS)
+        sizes[-1] = shards - GROUP_SHARDS * (groups - 1)
+        for batch in batches:
+            for r in batch.to_pylist():
+                drawn = np.random.default_rng([seed, r["sidx"]]).multinomial(r["slots"], sizes / shards)
+                first = np.cumsum(drawn) - drawn
+                some = np.flatnonzero(drawn)
+                for k in range(0, len(some), 1 << 14):
+                    part = some[k : k + (1 << 14)]
+                    plan = [pa.array(np.full(len(part), r[c], np.int64)) for c in _PLAN]
+                    yield pa.RecordBatch.from_arrays([*plan, *(pa.array(x.astype(np.int64)) for x in (part, sizes[part], first[part], drawn[part]))], [*_PLAN, "group", "shards", "first", "n"])
+
+    return run
+
+
+_PLAN = ("sidx", "size", "full", "blocks", "slots", "last")
+
+
 def _slots(block: int, seed: int):
-    """The slots of each (source, shard) row: epoch, block number, words, and an order within the shard."""
+    """The slots of each (source, group) row: shard, epoch, block number, words, and an order within the shard."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
+                drawn = np.random.default_rng([seed, r["sidx"], r["group"]]).multinomial(r["n"], np.full(r["shards"], 1 / r["shards"]))
+                ends = r["first"] + np.cumsum(drawn)
                 for begin in range(r["first"], r["first"] + r["n"], 1 << 16):
                     j = np.arange(begin, min(begin + (1 << 16), r["first"] + r["n"]))
+                    shard = r["group"] * GROUP_SHARDS + np.searchsorted(ends, j, side="right")
                     epoch, k = j // r["blocks"], j % r["blocks"]
                     number = k.copy()
                     for e in np.unique(epoch).tolist():
@@ -105,7 +139,7 @@ def _slots(block: int, seed: int):
                         words[j == r["slots"] - 1] = r["last"]
                     order = bt.mix64(j.astype(np.uint64), seed + r["sidx"]).view(np.int64)
                     ones = np.ones(len(j), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ones * r["sidx"], ones * r["shard"], order, epoch, number, words)], ["sidx", "shard", "position", "epoch", "block", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ones * r["sidx"], shard, order, epoch, number, words)], ["sidx", "shard", "position", "epoch", "block", "words"])
 
     return run
 
@@ -117,9 +151,13 @@ class Mix:
         spark = docs.sparkSession
         self.block, self.id_col = block, id_col
         size = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-        base = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+        # a hash of the text spreads the rows of a null or repeated id
+        some = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(id_col, text_col).alias("hash"))
+        base = materialize(some, "mix-sizes")
         # one row for each source: the only thing that comes to the driver
-        found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
+        found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"there are more than {MOST_SOURCES} sources")
         found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in found]
         targets = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
@@ -127,8 +165,8 @@ class Mix:
         docs_in_all = sum(r["docs"] for r in found)
         chunks = max(1, -(-docs_in_all // max(LEAST_CHUNK_DOCS, 4 * math.isqrt(docs_in_all))))
         frame = spark.createDataFrame(self.sources, T.StructType([T.StructField("sidx", T.LongType()), T.StructField("named", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]))
-        placed = base.join(frame, F.col("source").eqNullSafe(F.col("named"))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-        order = Window.partitionBy("sidx", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        placed = base.join(frame, F.col("source").eqNullSafe(F.col("named"))).withColumn("chunk", F.pmod("hash", F.lit(chunks)))
+        order = Window.partitionBy("sidx", "chunk").orderBy("id", "hash", "size").rowsBetween(Window.unboundedPreceding, -1)
         placed = placed.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0)))
         # the offsets of chunks: one row for each source and chunk
         sums = placed.groupBy("sidx", "chunk").agg(F.sum("size").alias("n"))
@@ -137,17 +175,13 @@ class Mix:
         placed = placed.join(starts, (F.col("sidx") == F.col("of")) & (F.col("chunk") == F.col("of_chunk")))
         self.documents = materialize(placed.select("id", "sidx", "source", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("start")), "mix-documents")
         plans = [(i, n, *slot_plan(n, math.floor(t), block)) for i, _, n, t in self.sources]
-        shards = min(MOST_SHARDS, max(1, -(-sum(p[4] for p in plans) // shard_slots)))
-        rows = []
-        for i, n, full, blocks, slots, last in plans:
-            drawn = np.random.default_rng([seed, i]).multinomial(slots, np.full(shards, 1 / shards))
-            first = np.concatenate(([0], np.cumsum(drawn)))
-            rows += [(i, n, full, blocks, slots, last, s, int(first[s]), int(drawn[s])) for s in np.flatnonzero(drawn).tolist()]
-        names = ("sidx", "size", "full", "blocks", "slots", "last", "shard", "first", "n")
-        drawn_rows = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+        slots = sum(p[4] for p in plans)
+        shards = max(1, -(-slots // shard_slots))
+        frame = spark.createDataFrame([p for p in plans if p[4]], ", ".join(f"{n} long" for n in _PLAN))
+        groups = frame.mapInArrow(_draws(shards, seed), ", ".join(f"{n} long" for n in (*_PLAN, "group", "shards", "first", "n")))
         # a fixed number: the rows are few, and adaptive execution would make one task of them
-        tasks = min(MOST_SHARDS, max(1, -(-sum(p[4] for p in plans) // TASK_SLOTS)))
-        self.slots = drawn_rows.repartition(tasks, "sidx", "shard").mapInArrow(_slots(block, seed), "sidx long, shard long, position long, epoch long, block long, words long")
+        tasks = min(MOST_TASKS, max(1, -(-slots // TASK_SLOTS)))
+        self.slots = groups.repartition(tasks, "sidx", "group").mapInArrow(_slots(block, seed), "sidx long, shard long, position long, epoch long, block long, words long")
 
     def pieces(self) -> DataFrame:
         """The mix: for each slot the words it takes of each document (``from_word`` of the document, ``taken`` words)."""

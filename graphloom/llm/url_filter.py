@@ -1,17 +1,21 @@
 """URL filters: rules indexed by their rarest literal token.
 
 A rule is a regular expression over ``host + path`` with the literal tokens
-(runs of ``[a-z0-9-]``) that any URL it fits must hold.  Token counts are taken
-over all URLs; each rule is filed under its rarest token.  A URL fetches the
-rules of its own tokens, and only those run their expressions.  Site rules
-(host and path, allow or block) win by length; without one, the pattern rules
-decide.  All of it is DataFrame expressions: the index is a literal map of at
-most ``CHUNK`` rules, and more rules make more maps, whose best fits are
-compared.
+(runs of ``[a-z0-9-]``) that any URL it fits must hold.  Rules are a table; that
+of the defaults is made by ``rule_table``, another can be read from anywhere.
+Token counts are taken over all URLs; each rule is filed under its rarest token.
+URLs fetch the rules of their own tokens by a join on the token, and only those
+run their expressions.  Site rules (host and path, allow or block) win by length;
+without one, the pattern rules decide.  All of it is DataFrame expressions.
+
+At most ``MOST_RULES`` rules are broadcast; more are joined by a shuffle.  What a
+URL fits is one row for each different URL, added up in the tasks first.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path,
 fits no rule and is allowed; rules of equal length are taken in code point
-order; repeated URLs are judged alike; extra columns are ignored.
+order; a rule without a literal token is tried on every URL; repeated URLs are
+judged alike; an empty table gives an empty one, and so do no rules (all is
+allowed); a very long URL is read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 
-CHUNK = 2_000
+#: Some 20 MB.
+MOST_RULES = 100_000
 TOKEN = "[^a-z0-9-]+"
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts so; the longest wins.
@@ -71,56 +76,38 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.split(whole, TOKEN), F.split(host, "[^a-z0-9]+")))
 
 
-def token_counts(urls: DataFrame, tokens: Column, wanted: set[str]) -> dict[str, int]:
-    """How many URLs hold each wanted token; at most one row for each of them comes back."""
-    each = urls.select(F.explode(F.filter(tokens, lambda t: t.isin(*sorted(wanted)))).alias("token")) if wanted else None
-    return {} if each is None else {r["token"]: r["n"] for r in each.groupBy("token").agg(F.count("*").alias("n")).collect()}
-
-
-def _maps(rules: list[Rule], counts: dict[str, int]) -> list[Column]:
-    """Literal maps from each rule's rarest token to the rules filed there."""
-    filed: dict[str, list[Rule]] = {}
-    for r in rules:
-        filed.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else "", []).append(r)
-    out, chunk, held = [], {}, 0
-    for token, own in sorted(filed.items()):
-        for k in range(0, len(own), CHUNK):
-            part = own[k : k + CHUNK]
-            if chunk and held + len(part) > CHUNK:
-                out.append(chunk)
-                chunk, held = {}, 0
-            chunk[token] = part
-            held += len(part)
-    as_struct = lambda r: F.struct(F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
-    return [F.create_map(*[x for t, own in c.items() for x in (F.lit(t), F.array(*map(as_struct, own)))]) for c in [*out, chunk] if c]
+RULES = "name string, verdict string, pattern string, tokens array<string>, site boolean"
 
 
-def _look_up(index: Column):
-    return lambda token: F.try_element_at(index, token)
+def rule_table(spark: SparkSession, site_rules=SITE_RULES, host_words=HOST_WORDS) -> DataFrame:
+    """The rules as a table: name, verdict, pattern, literal tokens, and whether it is a site rule."""
+    rows = [(r, True) for r in (site_rule(*x) for x in site_rules)] + [(r, False) for r in (word_rule(w) for w in host_words)]
+    return spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens), site) for r, site in rows], RULES)
 
 
-def best_fit(url: Column, tokens: Column, rules: list[Rule], counts: dict[str, int]) -> Column:
-    """The longest rule that fits, as a struct; null if none does."""
-    best = None
-    with_rest = F.concat(tokens, F.array(F.lit("")))
-    for index in _maps(rules, counts):
-        found = F.flatten(F.filter(F.transform(with_rest, _look_up(index)), lambda x: x.isNotNull()))
-        fits = F.filter(found, lambda r: F.call_function("regexp_like", url, r["pattern"]))
-        top = F.reduce(fits, F.lit(None).cast("struct<size:int,name:string,verdict:string,pattern:string>"), lambda a, r: F.when(a.isNull() | (r["size"] > a["size"]) | ((r["size"] == a["size"]) & (r["name"] < a["name"])), r).otherwise(a))
-        best = top if best is None else F.when(best.isNull() | (top["size"] > best["size"]), top).otherwise(best)
-    return best if best is not None else F.lit(None).cast("struct<size:int,name:string,verdict:string,pattern:string>")
+def file_rules(rules: DataFrame, urls: DataFrame, tokens: Column, held) -> DataFrame:
+    """The rules with the ``token`` that the fewest URLs hold; an empty one for rules without."""
+    each = rules.select("name", F.explode("tokens").alias("token"))
+    wanted = each.select("token").distinct()
+    counts = urls.select(F.explode(tokens).alias("token")).join(held(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = each.join(counts, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
+    return rules.join(rarest, "name", "left").select("name", "verdict", "pattern", "site", F.coalesce("least.token", F.lit("")).alias("token"))
 
 
-def judge(urls: DataFrame, *, url_col: str = "url", id_col: str = "page_id", site_rules=SITE_RULES, host_words=HOST_WORDS) -> DataFrame:
+def judge(urls: DataFrame, *, url_col: str = "url", id_col: str = "page_id", rules: DataFrame | None = None, most_rules: int = MOST_RULES) -> DataFrame:
     """Per URL: id, host, path, the site rule that fits best, the pattern rule that fits, and the verdict."""
-    sites, patterns = [site_rule(*r) for r in site_rules], [word_rule(w) for w in host_words]
+    rules = rule_table(urls.sparkSession) if rules is None else rules.select("name", "verdict", "pattern", "tokens", "site").dropDuplicates(["name"])
+    held = F.broadcast if rules.count() <= most_rules else lambda df: df.hint("merge")
     host, path = host_and_path(F.col(url_col))
     base = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
     tokens = url_tokens(F.col("host"), F.col("path"))
-    counts = token_counts(base, tokens, {t for r in (*sites, *patterns) for t in r.tokens})
-    whole = F.concat("host", "path")
-    out = base.withColumn("_tokens", tokens)
-    out = out.withColumn("_site", best_fit(whole, F.col("_tokens"), sites, counts)).withColumn("_word", best_fit(whole, F.col("_tokens"), patterns, counts))
+    filed = file_rules(rules, base, tokens, held)
+    some = base.select("host", "path", F.explode(F.concat(tokens, F.array(F.lit("")))).alias("token"))
+    fits = some.join(held(filed), "token").where(F.call_function("regexp_like", F.concat("host", "path"), F.col("pattern")))
+    # the least of (-length, name): the longest rule, and of those the first
+    ranked = F.struct((-F.length("name")).alias("order"), "name", "verdict")
+    best = fits.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.min(F.when(F.col("site"), ranked)).alias("_site"), F.min(F.when(~F.col("site"), ranked)).alias("_word"))
+    out = base.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
     verdict = F.coalesce(F.col("_site.verdict"), F.col("_word.verdict"), F.lit("allow"))
     return out.select(id_col, "host", "path", F.col("_site.name").alias("rule"), F.col("_word.name").alias("pattern_rule"), verdict.alias("verdict"))
 

@@ -240,6 +240,22 @@ def test_area_resize_is_the_mean_over_areas():
     fine = np.kron(image, np.ones((8, 9)))  # 56 x 99
     want = fine.reshape(8, 7, 9, 11).mean(axis=(1, 3))
     assert np.allclose(media.area_resize(image, 8, 9), want)
+    colour = np.random.default_rng(3).integers(0, 256, (7, 11, 3)).astype(np.uint8)
+    fine = np.kron(colour @ np.array([0.299, 0.587, 0.114]), np.ones((8, 9)))
+    assert np.allclose(media.area_resize(colour, 8, 9), fine.reshape(8, 7, 9, 11).mean(axis=(1, 3)))
+
+
+def test_media_of_a_very_long_text_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["ab" * 10_000_000])], ["id", "text"])
+    tracemalloc.start()
+    out = next(media._store_and_read("pgm", ["payload_bytes", "feature", "tile"])([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column(1).to_pylist() == [20_000_000] and peak < 100_000_000
 
 
 def test_text_media(spark, odd_docs):
@@ -249,6 +265,9 @@ def test_text_media(spark, odd_docs):
     by = Counter((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got)
     assert by == Counter((len(t), len(p), sha(p), zlib.crc32(p[-64:])) for t in texts for p in [t + bytes(-len(t) % 64 or (0 if t else 64))])
     assert all(sha(bytes(r.media)) == r.media_sha256 and len(r.media) == r.media_bytes for r in got)
+    lean = media.text_media(odd_docs, with_media=False, kind="bmp").collect()
+    assert Counter((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in lean) == by and "media" not in lean[0]
+    assert Counter((r.payload_sha256, r.feature, bytes(r.tile)) for r in lean) == Counter((r.payload_sha256, r.feature, bytes(r.tile)) for r in got)
     images = odd_docs.select("doc_id", F.lit(b"P5 1 1 255\n\x07").alias("media")).limit(1).union(odd_docs.sparkSession.createDataFrame([(1, None), (2, bytearray(b"no"))], "doc_id long, media binary"))
     out = media.media_features(images, keep=("doc_id",)).collect()
     assert [r.error is None for r in out] == [True, False, False] and out[0].height == 1
@@ -668,11 +687,27 @@ def test_url_filter_against_brute_force(spark, data):
     assert got == {i: brute_url(u) for i, u in enumerate(urls)}
 
 
-def test_many_rules_make_many_maps(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "CHUNK", 2)
-    urls = ["http://a.example.com/en/1", "http://x.net/fr/2", "http://y.com/", "http://q.org/es/"]
-    docs = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(docs).collect()} == {i: brute_url(u) for i, u in enumerate(urls)}
+@pytest.mark.parametrize("most", [0, url_filter.MOST_RULES])
+def test_rules_are_a_table(spark, most):
+    """Some thousand rules, broadcast or shuffled, against trying every rule on every URL."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcde"), 3))
+    sites = tuple({(h, p): (str(rng.choice(["allow", "block"])), h, p) for h, p in ((f"{word()}.{rng.choice(['com', 'org'])}", str(rng.choice(["/", "/en/", f"/{word()}/x", ""]))) for _ in range(900))}.values())
+    words_ = tuple({word() for _ in range(40)})
+    rules = url_filter.rule_table(spark, sites, words_)
+    extra = spark.createDataFrame([("q", "block", "[0-9]{9}", [], False), ("q", "block", "[0-9]{9}", [], False)], url_filter.RULES)
+    urls = [f"http://{word()}-{word()}.{word()}.{rng.choice(['com', 'org'])}/{rng.choice(['en', 'de', word()])}/x{k}" for k in range(300)] + ["http://a.b/123456789", "", None]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules.union(extra), most_rules=most).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        fits = [(-len(h + p), h + p, v) for v, h, p in sites if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p) and (len(r.host) or len(r.path))]
+        want = min(fits, default=None)
+        assert r.rule == (want and want[1])
+        bad = [w for w in words_ if re.search(rf"(?<![a-z0-9]){w}(?![a-z0-9])", r.host)] or re.search("[0-9]{9}", r.host + r.path)
+        assert r.verdict == (want[2] if want else "block" if bad else "allow")
+    assert len({r.rule for r in got}) > 5
+    none = url_filter.judge(spark.createDataFrame([(1, "http://net/es/")], "page_id long, url string"), rules=rules.limit(0)).collect()
+    assert [(r.rule, r.verdict) for r in none] == [(None, "allow")]
 
 
 # -- 10 mixing
@@ -712,6 +747,42 @@ def test_mix_gives_each_source_its_target(spark, data, odd_docs, no_docs):
     assert len(odd) == odd_docs.count() and mixing.Mix(no_docs).totals().count() == 0
 
 
+def test_taken_words_against_a_plain_mix(spark, data):
+    """Every document's ``taken``, by walking the streams slot by slot."""
+    mix = mixing.Mix(table(spark, data, "documents"), block=16, shard_slots=50)
+    streams, targets = defaultdict(list), {}
+    for r in mix.documents.collect():
+        streams[r.sidx].append((r.start, r["size"], r.id))
+        targets[r.sidx] = math.floor(r.target)
+    taken = Counter()
+    for sidx, docs in streams.items():
+        words_of = [None] * sum(n for _, n, _ in docs)
+        for start, n, d in docs:
+            assert words_of[start : start + n] == [None] * n
+            words_of[start : start + n] = [d] * n
+        full, blocks, slots, last = mixing.slot_plan(len(words_of), targets[sidx], 16)
+        for j in range(slots):
+            epoch, k = divmod(j, blocks)
+            b = int(mixing.permute(np.array([k]), full, mixing.SEED + 1009 * sidx + epoch)[0]) if k < full else k
+            own = words_of[b * 16 : b * 16 + 16]
+            taken.update(own[:last] if last and j == slots - 1 else own)
+    assert {r.doc_id: r.taken for r in mix.totals().collect()} == {d: taken[d] for docs in streams.values() for _, _, d in docs}
+
+
+def test_draws_are_whole_and_follow_the_shards():
+    import pyarrow as pa
+
+    plan = [(0, 16_000, 1000, 1000, 1500, 0), (3, 170, 10, 11, 7, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*plan, strict=True)], list(mixing._PLAN))
+    groups = list(mixing._draws(100, 1)([batch]))
+    rows = [r for b in groups for r in b.to_pylist()]
+    assert {s: sum(r["n"] for r in rows if r["sidx"] == s) for s in (0, 3)} == {0: 1500, 3: 7} and {r["shards"] for r in rows} <= {8, 4}
+    slots = [r for b in mixing._slots(16, 1)(groups) for r in b.to_pylist()]
+    counts = Counter(r["shard"] for r in slots if r["sidx"] == 0)
+    assert len(slots) == 1507 and set(counts) <= set(range(100)) and 3 <= np.std([counts[k] for k in range(100)]) <= 5
+    assert len({(r["epoch"], r["block"]) for r in slots if r["sidx"] == 0}) == 1500
+
+
 def test_mix_pieces_are_whole_blocks(spark, data):
     mix = mixing.Mix(table(spark, data, "documents"), block=16, shard_slots=50)
     slots = {(r.sidx, r.epoch, r.block): r.words for r in mix.slots.collect()}
