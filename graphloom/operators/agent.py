@@ -16,14 +16,16 @@ from graphloom.operators.hints import graph_hints
 from graphloom.operators.sqlguard import Databases, Tracker
 
 RESULT_CHARS = 8000
+MOST_ROWS = 1000
+# fixed values: step limits of the planners
 MAX_STEPS, STANDARD_STEPS, DISCOVER_STEPS, EXPLORE_STEPS, WORKERS = 35, 20, 8, 10, 4
 Planner = Callable[[list[dict]], dict]
 
 
 def rows_of(result: Any) -> Any:
-    """A tool's result as plain data; tools return short, limited results."""
+    """A tool's result as plain data, of each table ``MOST_ROWS`` rows at most."""
     if isinstance(result, DataFrame):
-        return [r.asDict(recursive=True) for r in result.collect()]
+        return [r.asDict(recursive=True) for r in result.limit(MOST_ROWS).collect()]
     if isinstance(result, tuple):
         return [x for part in result for x in rows_of(part)]
     return result

@@ -113,7 +113,8 @@ class PropertyGraph:
         last = seen
         for d in range(1, depth + 1):
             near = last.join(hop, F.col("id") == F.col("_src")).select(F.col("_dst").alias("id")).distinct()
-            last = near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+            # each level is written: else the plan would double with every hop
+            last = materialize(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), "reach-level")
             seen = seen.unionByName(last)
         return seen
 
@@ -178,12 +179,9 @@ class PropertyGraph:
 
     def query(self, spark: SparkSession, text: str) -> DataFrame:
         """SQL on the views ``vertices`` and ``edges``; reading only."""
-        from graphloom.operators.sqlguard import require_query
+        from graphloom.operators.sqlguard import run_on
 
-        require_query(spark, text)
-        self.vertices.createOrReplaceTempView("vertices")
-        self.edges.createOrReplaceTempView("edges")
-        return spark.sql(text)
+        return run_on(spark, {"vertices": self.vertices, "edges": self.edges}, text)
 
     def counts_by_database(self) -> DataFrame:
         return self.vertices.groupBy("database", "label").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import threading
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,44 @@ def require_query(spark: SparkSession, text: str) -> None:
         raise Refused(f"only queries are allowed, not {nodes[0][0] if nodes else 'an empty text'}")
 
 
+#: Functions that call any method of the JVM.
+_CALLS = re.compile(r"(?<![\w.])'?(?:try_)?(?:reflect|java_method)\(", re.I)
+
+
+def require_known(spark: SparkSession, text: str, tables: Iterable[str]) -> None:
+    """Refuses queries on other relations than the tables and the query's own, and calls of JVM methods."""
+    nodes = plan_nodes(spark, text)
+    own = {t.lower() for t in tables}
+    for node, line in nodes:
+        if node == "CTE" and (m := re.match(r"CTE \[(.*?)\]", line)):
+            own |= {x.strip(" `").lower() for x in m[1].split(",")}
+    for node, line in nodes:
+        if node == "UnresolvedRelation":
+            name = re.match(r"UnresolvedRelation \[(.*?)\], \[", line)
+            if not name or name[1].lower() not in own:
+                raise Refused(f"unknown relation {name[1] if name else line}")
+        if _CALLS.search(line):
+            raise Refused("methods of the JVM can't be called")
+
+
+def run_on(spark: SparkSession, tables: dict[str, DataFrame], text: str, args: dict | None = None) -> DataFrame:
+    """The rows of a query that sees these tables only; its names are bound while it is analysed, and then as they were."""
+    require_query(spark, text)
+    require_known(spark, text, tables)
+    before = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    kept = {name: spark.table(name) for name in tables if name.lower() in before}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(text, args=args or {})
+    finally:
+        for name in tables:
+            if name in kept:
+                kept[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
 def joins(spark: SparkSession, text: str) -> list[str]:
     """The condition of each join of the query, as text."""
     return [line for node, line in plan_nodes(spark, text) if node in ("Join", "LateralJoin")]
@@ -116,10 +155,7 @@ class Databases:
         """The query's rows, ``limit`` at most; raises KeyError for an unknown database and Refused for what isn't a query."""
         if database not in self.databases:
             raise KeyError(f"unknown database {database}; there are {', '.join(sorted(self.databases))}")
-        require_query(self.spark, text)
-        for name, df in self.databases[database].items():
-            df.createOrReplaceTempView(name)
-        return self.spark.sql(text, args=args or {}).limit(limit)
+        return run_on(self.spark, self.databases[database], text, args).limit(limit)
 
     def execute_query(self, database: str, text: str, limit: int = 100) -> dict:
         """As a result dict: columns, row_count and data, or an error."""

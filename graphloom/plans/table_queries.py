@@ -82,7 +82,11 @@ def q68(t):
     return windowed_counts(t.events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).select("start", "event_type", "n")
 
 
-@query("q69_relationship_text", None)
+@query(
+    "q69_relationship_text",
+    r"""SELECT DISTINCT src_table, trim(regexp_extract(part, '^([^(]*)\(', 1)) AS dst_table, replace(regexp_extract(part, '\(([^)]*)\)', 1), ' ', '') AS dst_columns
+    FROM (SELECT n_name AS src_table, unnest(regexp_extract_all('Region(r_regionkey), ' || n_name || '(a, b)', '([A-Za-z_][A-Za-z0-9_ ]*?)\s*\(([^)]*)\)')) AS part FROM {nation}) x""",
+)
 def q69(t):
     from graphloom.operators.builder import relationship_edges
 
