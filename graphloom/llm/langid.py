@@ -11,9 +11,9 @@ A fifth of these documents is held out.  It sets the softmax's temperature and
 the rejection: a logistic model of the winner's odds and of how typical the
 subwords are of its language (their mean log-frequency, also times the root of
 their number) tells right predictions from wrong ones and from fragments whose
-letters are exchanged or drawn at random.  What it calls likelier right than not
-is accepted, and so much more that at most ``MAY_LOSE`` of the right ones are
-lost; ``false_accept`` is the share of the others that are accepted.
+letters are exchanged or drawn at random.  What it calls right with a probability
+of ``DOUBT`` is accepted, and so much more that at most ``MAY_LOSE`` of the right
+ones are lost; ``false_accept`` is the share of the others that are accepted.
 
 For prediction all linear maps are one table of a few numbers per bucket.
 
@@ -50,6 +50,8 @@ MOST_SUBWORDS = 4_096
 HELD = 5
 #: The share of right predictions on held-out rows that may fall below the rejection score.
 MAY_LOSE = 0.001
+#: What is right with this probability is accepted in any case.
+DOUBT = 0.05
 #: Words that no document has, for the frequency of unseen subwords.
 UNSEEN = 1.0
 SPACE = 0x20
@@ -223,8 +225,8 @@ def fit(rows: list[Row], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1
         return Model(langs, np.concatenate([flat * scale, typical], axis=1).astype(np.float32), np.array([1.0, 0, 0, 0]), 0.0, 1.0)
     weights = logistic(x, right.astype(float))
     sure = x @ weights
-    # what is likelier right than not is accepted in any case
-    accept = min(0.0, float(np.quantile(sure[right], MAY_LOSE)))
+    # what may well be right is accepted in any case
+    accept = min(float(np.log(DOUBT / (1 - DOUBT))), float(np.quantile(sure[right], MAY_LOSE)))
     return Model(langs, np.concatenate([flat * scale, typical], axis=1).astype(np.float32), weights, accept, float((sure[~right] >= accept).mean()) if (~right).any() else 0.0)
 
 
