@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 ALLOWED_ROOTS = frozenset("CTE Project Filter Aggregate Sort GlobalLimit LocalLimit Limit Distinct Join UnresolvedRelation SubqueryAlias Union Intersect Except UnresolvedWith WithCTE UnresolvedHaving Window Generate LocalRelation OneRowRelation UnresolvedInlineTable Offset Tail Deduplicate UnresolvedSubqueryColumnAliases Pivot Unpivot Sample LateralJoin WithWindowDefinition".split())
@@ -82,6 +83,13 @@ def joins(spark: SparkSession, text: str) -> list[str]:
     return [line for node, line in plan_nodes(spark, text) if node in ("Join", "LateralJoin")]
 
 
+def _joins_or_none(spark: SparkSession, text: str) -> list[str] | None:
+    try:
+        return joins(spark, text)
+    except ParseException:
+        return None
+
+
 def joined_columns(condition: str) -> set[str]:
     """The last part of each column named in a join condition, in lower case."""
     return {x.split(".")[-1].strip("`' ").lower() for x in re.findall(r"[A-Za-z_`'][\w.`' ]*?(?=\s*(?:=|\)|,|$|<))", condition)} | {x.split(".")[-1].strip("`").lower() for x in re.findall(r"'([\w.`]+)", condition)}
@@ -102,13 +110,9 @@ class Tracker:
         is a join on a name, one before join keys were asked for, and one that
         doesn't use the recommended column.
         """
-        try:
-            conditions = joins(spark, text)
-            first_joins = joins(spark, self.queries[0][1]) if self.queries else None
-        except Exception as e:  # text that can't be parsed fails when it is run
-            conditions, first_joins = [], None
-            if "ParseException" not in type(e).__name__:
-                raise
+        # text that can't be parsed fails when it is run; as a first query it says nothing of those after it
+        conditions = _joins_or_none(spark, text) or []
+        first_joins = _joins_or_none(spark, self.queries[0][1]) if self.queries else None
         if first_joins is not None and not first_joins and not conditions:
             return {"error": "sequential query", "instruction": "ask for join keys and send one query that joins the tables"}
         used = set().union(*map(joined_columns, conditions)) if conditions else set()

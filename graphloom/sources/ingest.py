@@ -34,8 +34,8 @@ def read_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, i
 
 
 def export_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    """Writes CSV with a header; as one file only if asked, since that is one task's work."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+    """Writes CSV with a header, quotes inside a field doubled; as one file only if asked, since that is one task's work."""
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def fill_names(df: DataFrame, names: DataFrame, name_col: str = "name", key: str = "iga") -> DataFrame:
