@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 import json
+import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -35,6 +37,38 @@ def cut(text: str, most: int = RESULT_CHARS) -> str:
     return text if len(text) <= most else text[:most] + "... [truncated]"
 
 
+WHAT = {
+    "schema": "labels and relationship types with their counts",
+    "list_concepts": "all concepts with their databases and source tables",
+    "concept_links": "tables and concepts that a concept is linked to",
+    "node_details": "a node with all its neighbours",
+    "list_tables": "tables, of one database or of all",
+    "cross_db_edges": "edges between two databases",
+    "search": "nodes whose name or description has the keyword",
+    "subgraph": "nodes and edges within some steps of a node",
+    "path_between": "a shortest path between two nodes",
+    "find_columns": "nodes with a column of that name",
+    "shared_concepts": "concepts of more than one database",
+    "database_summary": "a database's tables and concepts",
+    "trace_cross_db": "ways from a node into another database",
+    "semantic_concept_search": "concepts by keywords, the best first",
+    "find_join_keys": "columns that tables can be joined on; ask before a query with joins",
+    "execute_query": "rows of a read-only query on one database",
+    "get_sample_data": "some rows of a table",
+    "calculate_employee_score": "the weighted score of one employee, by name or iga",
+    "find_top_performing_crew": "employees by score, filtered",
+}
+_JSON = {"int": "integer", "float": "number", "bool": "boolean", "list": "array", "dict": "object"}
+
+
+def _json_type(p: inspect.Parameter) -> dict:
+    """A parameter's JSON type by its annotation, or else by its default; text if neither says."""
+    kind = p.annotation if p.annotation is not inspect.Parameter.empty else type(p.default).__name__
+    kind = re.split(r"[\[ |]", str(getattr(kind, "__name__", kind)))[0]
+    out: dict = {"type": _JSON.get(kind, "string")}
+    return out | ({"items": {"type": "string"}} if out["type"] == "array" else {})
+
+
 @dataclass
 class Tools:
     """The tools by name.  ``sources`` are hr, perf, leave and nps for scoring, ``databases`` for SQL; without those their tools are missing."""
@@ -59,6 +93,18 @@ class Tools:
             out |= {"calculate_employee_score": lambda identifier, by="name": scoring.score_one(joined, identifier, by, self.parameters), "find_top_performing_crew": lambda **a: scoring.rank(joined, params=self.parameters, **a)}
         return out
 
+    def schemas(self) -> list[dict]:
+        """What a planner is told of each tool: its name, what it does, and its parameters as a JSON schema."""
+        out = []
+        for name, tool in self.registry().items():
+            given = {k: p for k, p in inspect.signature(tool).parameters.items() if p.kind is not inspect.Parameter.VAR_KEYWORD}
+            if name == "find_top_performing_crew":
+                given = {k: p for k, p in inspect.signature(scoring.rank).parameters.items() if k not in ("joined", "params")}
+            properties = {k: _json_type(p) for k, p in given.items()}
+            needed = [k for k, p in given.items() if p.default is inspect.Parameter.empty]
+            out.append({"name": name, "description": WHAT[name], "parameters": {"type": "object", "properties": properties, "required": needed}})
+        return out
+
     def _join_keys(self, tables: list[str]) -> dict:
         self.tracker.keys_asked = True
         found = joinkeys.find_join_keys(self.graph, tables)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _STEP = re.compile(r"Thought:\s*(.*?)\s*(?:Action:\s*([A-Za-z_]+)\s*)?(?:Action Input:\s*(.*))?$", re.S)
-TRANSIENT = ("429", "timeout", "timed out", "rate limit", "connection", "503", "502", "temporarily")
-FILTERED = ("content_filter", "content management policy", "responsibleai")
+# fixed values: words of errors that pass, and of refusals by a content filter
+TRANSIENT = ("timeout", "connect", "reset", "502", "503", "504", "internal", "upstream", "rate", "429", "timed out", "temporarily")
+FILTERED = ("invalid_prompt", "usage policy", "content_filter", "content management policy", "responsibleaipolicyviolation", "jailbreak")
 
 
 def parse_step(text: str) -> dict:

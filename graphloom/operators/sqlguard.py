@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JNetworkError
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -149,6 +150,15 @@ def rows_in_time(df: DataFrame, seconds: float = 25.0) -> list[dict]:
         sc.setLocalProperty("spark.jobGroup.id", None)
 
 
+def renewed(run: Callable[[], list[dict]], renew: Callable[[], None]) -> list[dict]:
+    """The run's result; if the connection is lost it is renewed, and the run made once more."""
+    try:
+        return run()
+    except (ConnectionError, EOFError, Py4JNetworkError):
+        renew()
+        return run()
+
+
 class Databases:
     """Logical databases: each has named tables, and queries see those of one."""
 
