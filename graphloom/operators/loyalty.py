@@ -137,7 +137,7 @@ class Loyalty:
     def members_by_addon(self, addon: str) -> DataFrame:
         ids = self.t["addon"].where(F.col("addon_type") == addon).select("addon_id")
         bought = self.t["segment_addon"].join(ids, "addon_id", "left_semi")
-        owners = bought.join(self.t["segment"].select("segment_id", "booking_id"), "segment_id").join(self.t["booking"].select("booking_id", "ffn_id"), "booking_id")
+        owners = bought.join(self.t["segment"].select("segment_id", "ffn_id"), "segment_id")
         return owners.groupBy("ffn_id").agg(F.count("*").alias("purchases"))
 
     def high_value_members(self, segment: str = "HIGH_FREQ_HIGH_SPEND") -> DataFrame:

@@ -14,9 +14,10 @@ from graphloom.functions import day_class
 from graphloom.operators.loyalty import assign_tier, fare_usage, flyer_frequency, preferred_routes, spending_segment
 
 CHANNELS, STATUSES = ("APP", "WEB", "AGENT", "CALL_CENTRE"), ("CONFIRMED", "FLOWN", "CANCELLED")
-FARES = ("SAVER", "FLEXI", "SUPER", "STUDENT", "SENIOR", "FAMILY", "CORPORATE", "STRETCH")
-AIRPORTS = ("DEL", "BOM", "BLR", "MAA", "HYD", "CCU", "PNQ", "GOI", "COK", "AMD", "JAI", "LKO", "DXB", "SIN", "BKK")
-ABROAD = ("DXB", "SIN", "BKK")
+# invented: eight fares, and fifteen places of which the last three are abroad
+FARES = tuple(f"FARE_{i}" for i in range(1, 9))
+AIRPORTS = tuple(f"P{i:02d}" for i in range(1, 16))
+ABROAD = AIRPORTS[-3:]
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:

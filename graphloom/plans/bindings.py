@@ -43,11 +43,13 @@ VIEWS = {
     "booking": "SELECT o_orderkey AS booking_id, o_custkey AS ffn_id, CAST(o_orderdate AS DATE) AS booking_date, o_orderpriority AS fare_type, o_orderstatus AS booking_status, o_totalprice AS total_fare FROM {orders}",
     "route": """SELECT cn.n_name || '_' || sn.n_name AS route_id, cn.n_name AS origin, sn.n_name AS destination FROM {nation} cn CROSS JOIN {nation} sn""",
     # the key of a lineitem is all of these together
-    "segment": """SELECT concat_ws('-', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRING), CAST(l.l_partkey AS STRING), CAST(l.l_suppkey AS STRING), CAST(CAST(l.l_quantity AS INT) AS STRING), CAST(CAST(round(l.l_extendedprice * 100) AS BIGINT) AS STRING), CAST(CAST(l.l_shipdate AS DATE) AS STRING)) AS segment_id,
-                         l.l_orderkey AS booking_id, o.o_custkey AS ffn_id, l.l_partkey AS addon_id, CAST(l.l_shipdate AS DATE) AS flight_date, cn.n_name || '_' || sn.n_name AS route_id, cn.n_name AS origin, sn.n_name AS destination
-                  FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
+    "leg": """SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS INT) AS STRING),
+                               CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING)) AS segment_id,
+                     l_orderkey AS booking_id, l_partkey AS addon_id, l_suppkey, CAST(l_shipdate AS DATE) AS flight_date FROM {lineitem}""",
+    "segment": """SELECT l.segment_id, l.booking_id, o.o_custkey AS ffn_id, l.addon_id, l.flight_date, cn.n_name || '_' || sn.n_name AS route_id, cn.n_name AS origin, sn.n_name AS destination
+                  FROM {leg} l JOIN {orders} o ON l.booking_id = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
                   JOIN {nation} cn ON c.c_nationkey = cn.n_nationkey JOIN {nation} sn ON s.s_nationkey = sn.n_nationkey""",
-    "segment_addon": "SELECT segment_id, addon_id FROM {segment}",
+    "segment_addon": "SELECT segment_id, addon_id FROM {leg}",
     "addon": "SELECT p_partkey AS addon_id, p_type AS addon_type, p_name AS addon_name, p_brand AS category, p_retailprice AS approx_price FROM {part}",
     "fare_type": "SELECT DISTINCT o_orderpriority AS fare_name FROM {orders}",
     "partner": "SELECT s.s_suppkey AS partner_id, s.s_name AS partner_name, n.n_name AS category FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey",

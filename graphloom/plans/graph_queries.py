@@ -166,7 +166,7 @@ def _pairs(t: Tables) -> DataFrame:
 
 @query("q42_cosine_pairs_top", f"WITH {_SIM} SELECT left_id, right_id, round(similarity, 4) AS similarity FROM sim ORDER BY round(similarity, 4) DESC, left_id, right_id LIMIT 20")
 def q42(t):
-    return _pairs(t).withColumn("similarity", F.round("similarity", 4)).orderBy(F.desc("similarity"), "left_id", "right_id").limit(20)
+    return unify.most_similar(t.vec_a, t.vec_b, 20)
 
 
 @query("q43_bucket_counts", f"WITH {_SIM} SELECT CASE WHEN similarity >= {HI} THEN 'auto' WHEN similarity >= {LO} THEN 'candidate' ELSE 'reject' END AS bucket, count(*) AS n FROM sim GROUP BY 1")
