@@ -24,15 +24,34 @@ MAX_STEPS, STANDARD_STEPS, DISCOVER_STEPS, EXPLORE_STEPS, WORKERS = 35, 20, 8, 1
 Planner = Callable[[list[dict]], dict]
 
 
+class Rows(list):
+    """A tool's rows, and whether there are more of them than are given."""
+
+    truncated = False
+
+
 def rows_of(result: Any) -> Any:
     """A tool's result as plain data, of each table ``MOST_ROWS`` rows at most."""
     if isinstance(result, DataFrame):
-        return [r.asDict(recursive=True) for r in result.limit(MOST_ROWS).collect()]
+        rows = Rows(r.asDict(recursive=True) for r in result.limit(MOST_ROWS + 1).collect())
+        rows.truncated = len(rows) > MOST_ROWS
+        del rows[MOST_ROWS:]
+        return rows
     if isinstance(result, tuple):
-        return [x for part in result for x in rows_of(part)]
+        parts = [rows_of(part) for part in result]
+        rows = Rows(x for part in parts for x in part)
+        rows.truncated = any(getattr(part, "truncated", False) for part in parts)
+        return rows
     return result
 
 
+def told(result: Any) -> str:
+    """A result as a planner reads it; one that was cut says so."""
+    if getattr(result, "truncated", False):
+        result = {"truncated": True, "rows_given": len(result), "rows": result}
+    return cut(json.dumps(result, default=str))
+
+
 def cut(text: str, most: int = RESULT_CHARS) -> str:
     return text if len(text) <= most else text[:most] + "... [truncated]"
 
@@ -143,8 +162,9 @@ def loop(tools: Tools, planner: Planner, question: str, steps: int = MAX_STEPS)
             key = json.dumps([name, args], sort_keys=True, default=str)
             result = {"note": "this call was made before"} if key in seen else tools.dispatch(name, args)
             seen.add(key)
-            yield {"type": "tool", "name": name, "args": args, "result": result, "graph": graph_hints(name, result if isinstance(result, list) else result.get("join_recommendations", []))}
-            messages.append({"role": "tool", "name": name, "content": cut(json.dumps(result, default=str))})
+            cut_off = getattr(result, "truncated", False) or (isinstance(result, dict) and bool(result.get("truncated")))
+            yield {"type": "tool", "name": name, "args": args, "result": result, "truncated": cut_off, "graph": graph_hints(name, result if isinstance(result, list) else result.get("join_recommendations", []))}
+            messages.append({"role": "tool", "name": name, "content": told(result)})
     yield {"type": "answer", "content": last or "no answer was found"}
 
 
