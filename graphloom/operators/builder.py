@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _STEP = re.compile(r"Thought:\s*(.*?)\s*(?:Action:\s*([A-Za-z_]+)\s*)?(?:Action Input:\s*(.*))?$", re.S)
-# fixed values: words of errors that pass, and of refusals by a content filter
-TRANSIENT = ("timeout", "connect", "reset", "502", "503", "504", "internal", "upstream", "rate", "429", "timed out", "temporarily")
+# fixed values: words of refusals by a content filter
 FILTERED = ("invalid_prompt", "usage policy", "content_filter", "content management policy", "responsibleaipolicyviolation", "jailbreak")
 
 
@@ -23,6 +23,19 @@ def parse_step(text: str) -> dict:
     return {"thought": m[1] or None, "action": m[2], "input": parse_json(m[3]) if m[3] else None}
 
 
+def parse_steps(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds thought, action and input (as JSON) of each row's step; rows are read where they are."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            steps = [parse_step(x) for x in pdf[text_col]]
+            given = [None if s["input"] is None else json.dumps(s["input"], ensure_ascii=False) for s in steps]
+            yield pdf.assign(thought=[s["thought"] for s in steps], action=[s["action"] for s in steps], input=given)
+
+    return texts.mapInPandas(run, f"{schema}, thought string, action string, input string")
+
+
 def parse_json(text: str | None):
     """JSON out of a model's text: code fences are taken off, and a cut end is closed; None if that fails."""
     body = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", text or "").strip()
@@ -52,8 +65,13 @@ def parse_json(text: str | None):
             return None
 
 
+#: Words of errors that pass.  Whole words, but for those that are the beginnings of some: else "generate" would pass for "rate".
+_TRANSIENT = re.compile(r"(?<![a-z0-9])(?:timeouts?|connect\w*|resets?|502|503|504|internal|upstream|rate|429|timed out|temporarily)(?![a-z0-9])")
+
+
 def is_transient(error: Exception | str) -> bool:
-    return any(x in str(error).lower() for x in TRANSIENT)
+    """Whether an error may pass when the call is made again."""
+    return bool(_TRANSIENT.search(re.sub(r"([a-z])([A-Z])", r"\1 \2", str(error)).lower()))
 
 
 def is_filtered(error: Exception | str) -> bool:
@@ -61,8 +79,8 @@ def is_filtered(error: Exception | str) -> bool:
 
 
 def container_name(database: str) -> str:
-    """A name for a database's graph: letters, digits and hyphens."""
-    return re.sub(r"-+", "-", re.sub(r"[^a-z0-9]+", "-", database.lower())).strip("-") or "graph"
+    """A name for a database's graph: lower case, blanks and hyphens as underscores."""
+    return re.sub(r"[ -]", "_", database.strip().lower()) or "graph"
 
 
 def relationship_edges(tables: DataFrame) -> DataFrame:
@@ -89,27 +107,6 @@ def concept_nodes(tables: DataFrame, min_tables: int = 2) -> DataFrame:
     return grouped.select(F.concat_ws("__", "database", F.lit("concept"), "column").alias("id"), F.lit("Concept").alias("label"), "database", F.initcap(F.regexp_replace("column", "_", " ")).alias("name"), "source_tables", F.array("column").alias("key_columns"))
 
 
-def enrich(tables: list[dict], agent: Callable[[dict], dict | None] | None = None, steps: int = 10) -> tuple[list[dict], list[dict]]:
-    """Nodes and rejects: the agent enriches or rejects each table; where it gives nothing, or fails, the minimal node stays."""
-    nodes, rejected = [], []
-    for t in tables:
-        verdict = None
-        for _ in range(steps if agent else 0):
-            try:
-                verdict = agent(t)
-            except Exception as e:  # a model's failure never loses a table
-                verdict = None
-                if not is_transient(e):
-                    break
-            if verdict:
-                break
-        if verdict and verdict.get("reject"):
-            rejected.append({"table": t["table_name"], "reason": verdict.get("reason", "")})
-        else:
-            nodes.append({"id": t["table_name"], "label": t["table_name"], "type": f"{t.get('database', '')}Entity", "description": t.get("description") or "", "database": t.get("database")} | (verdict or {}))
-    return nodes, rejected
-
-
 def markdown(vertices: DataFrame, edges: DataFrame, description_chars: int = 120) -> str:
     """The graph as text: counts, shared concepts, and a line for each vertex."""
     n = vertices.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()

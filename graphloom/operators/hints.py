@@ -75,6 +75,50 @@ def graph_hints(tool: str, rows: list[dict]) -> dict:
     return {"nodes": list(c.nodes.values()), "edges": list(c.edges.values())}
 
 
+_NODE = "struct<name:string,type:string,database:string>"
+_EDGE = "struct<source:string,target:string,label:string,source_db:string,target_db:string>"
+
+
+def shown(tool: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (name, type, database) and edges (source, target, label, source_db, target_db) that a tool's table shows.
+
+    As ``graph_hints``, for tables of any size: each row gives its elements,
+    which are reduced to one for each name and database before they are shuffled.
+    """
+    have = set(rows.columns)
+    text = lambda *names: F.coalesce(*[F.when(F.col(n) != "", F.col(n).cast("string")) for n in names if n in have], F.lit(""))
+    kind = lambda *names: F.when(text(*names).isin("Concept", "Policy"), text(*names)).otherwise("Table")
+    node = lambda name, type_, db: F.struct(name.alias("name"), type_.alias("type"), db.alias("database")).cast(_NODE)
+    edge = lambda a, b, label, a_db, b_db: F.struct(a.alias("source"), b.alias("target"), label.alias("label"), a_db.alias("source_db"), b_db.alias("target_db")).cast(_EDGE)
+    none = F.lit("")
+    nodes, edges = F.array().cast(f"array<{_NODE}>"), F.array().cast(f"array<{_EDGE}>")
+    if tool in ("list_concepts", "list_tables", "search", "semantic_concept_search", "find_columns"):
+        nodes = F.array(node(text("name"), F.lit("Concept") if tool == "list_concepts" else kind("label"), text("database")))
+    elif tool in ("concept_links", "node_details"):
+        name, db = text("concept", "name"), text("concept_database", "database")
+        nodes = F.array(node(name, F.lit("Concept") if tool == "concept_links" else kind("label"), db), node(text("n_name"), kind("n_label"), text("n_database")))
+        edges = F.array(edge(name, text("n_name"), text("relationship"), db, text("n_database")))
+    elif tool == "subgraph" and "relationship" in have:
+        edges = F.array(edge(text("src"), text("dst"), text("relationship"), none, none))
+    elif tool == "subgraph":
+        nodes = F.array(node(text("name"), kind("label"), text("database")))
+    elif tool == "shared_concepts":
+        own = F.coalesce("databases", F.array(text("database"))) if "databases" in have else F.array(text("database"))
+        nodes = F.transform(own, lambda db: node(text("name"), F.lit("Concept"), db))
+    elif tool == "trace_cross_db":
+        to = node(text("n_name"), kind("n_label"), text("n_database"))
+        nodes = F.array(node(text("via_node"), F.lit("Table"), text("via_db")), to)
+        edges = F.array(edge(text("via_node"), text("n_name"), text("rel2"), text("via_db"), text("n_database")))
+    elif tool == "find_join_keys":
+        own = F.coalesce("tables", F.array().cast("array<string>"))
+        nodes = F.transform(own, lambda x: node(x, F.lit("Table"), none))
+        after = lambda x, i: F.transform(F.slice(own, i + 2, F.size(own)), lambda y: edge(x, y, F.concat(F.lit("JOIN on "), text("column")), none, none))
+        edges = F.flatten(F.transform(own, after))
+    each = rows.select(F.explode(nodes).alias("x")).select("x.*").where("name <> ''")
+    lines = rows.select(F.explode(edges).alias("x")).select("x.*").where("source <> '' and target <> ''")
+    return each.groupBy("name", "database").agg(F.min("type").alias("type")), lines.distinct()
+
+
 def is_graph(df: DataFrame) -> bool:
     """Whether a result is drawn as a graph: it has (id, label) or (src, dst)."""
     have = {c.lower() for c in df.columns}

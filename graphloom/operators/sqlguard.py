@@ -34,7 +34,7 @@ EXPRESSIONS = frozenset(
     LateralSubquery LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal Lower MultiAlias Multiply NamedArgumentExpression NamedParameter Not NotLikeAll NotLikeAny Or
     Overlay PipeExpression PosParameter RLike Remainder Rollup ScalarSubquery SemiStructuredExtract SortOrder SpecifiedWindowFrame StringLocate StringTrim StringTrimBoth
     StringTrimLeft StringTrimRight Substring Subtract TimestampAdd TimestampDiff UnaryMinus UnaryPositive UnboundedFollowing$ UnboundedPreceding$ UnresolvedAlias
-    UnresolvedAttribute UnresolvedCollation UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedRegex UnresolvedStar
+    UnresolvedAttribute UnresolvedCollation UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedRegex UnresolvedStar
     UnresolvedStarExceptOrReplace UnresolvedWindowExpression UnspecifiedFrame$ WindowExpression WindowSpecDefinition""".split()
 )
 #: Groups of built-in functions that read nothing but their arguments.

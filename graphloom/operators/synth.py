@@ -69,10 +69,15 @@ def sample_rows(columns: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     return columns.withColumn("row", F.explode(F.sequence(F.lit(1), F.lit(n)))).select("database", "table_name", "row", "column_name", value.alias("value"))
 
 
-def loyalty_tables(spark: SparkSession, members: int = 20, seed: int = 42, today: str = "2026-01-01") -> dict[str, DataFrame]:
-    """Members with 1 to 28 bookings of one or two segments, 0 to 2 add-ons a segment, and partner transactions."""
+def loyalty_tables(spark: SparkSession, members: int | DataFrame = 20, seed: int = 42, today: str = "2026-01-01") -> dict[str, DataFrame]:
+    """Members with 1 to 28 bookings of one or two segments, 0 to 2 add-ons a segment, and partner transactions.
+
+    ``members`` is their number, or a table of their ids (``ffn_id``).
+    """
     u = lambda purpose, *keys: uniform(seed, purpose, *keys)
-    ids = spark.range(1, members + 1).select(F.concat(F.lit("FF"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("ffn_id"))
+    if isinstance(members, int):
+        members = spark.range(1, members + 1).select(F.concat(F.lit("FF"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("ffn_id"))
+    ids = members.select("ffn_id")
     active = choice(u("activity", "ffn_id"), (1, 4, 12, 28), (2, 4, 3, 1))
     booked = ids.withColumn("k", F.explode(F.sequence(F.lit(1), active)))
     booking = booked.select(

@@ -33,9 +33,11 @@ VIEWS = {
                 SELECT user_id AS iga, event_id % 11 AS nps_score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events}) x WHERE rn = 1""",
     # -- loyalty
     "spend": "SELECT o_custkey AS ffn_id, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spend, count(*) AS bookings FROM {orders} GROUP BY o_custkey",
-    "tier": "SELECT tier_name, tier_rank FROM (VALUES ('top', 3), ('middle', 2), ('entry', 1), ('retired', 0)) t(tier_name, tier_rank)",
     "member_tier": """SELECT ffn_id, spend AS qualifying_spend, bookings AS qualifying_flights,
                              CASE WHEN spend >= 3500000 AND bookings >= 12 THEN 'top' WHEN spend >= 2000000 AND bookings >= 8 THEN 'middle' ELSE 'entry' END AS tier_name FROM {spend}""",
+    # the tiers that members have, and one that nobody has
+    "tier": """SELECT tier_name, CASE tier_name WHEN 'top' THEN 3 WHEN 'middle' THEN 2 ELSE 1 END AS tier_rank FROM (SELECT DISTINCT tier_name FROM {member_tier}) x
+               UNION ALL SELECT DISTINCT 'retired', 0 FROM {orders}""",
     "member": """SELECT c.c_custkey AS ffn_id, c.c_name AS full_name, c.c_mktsegment AS customer_type,
                         CASE WHEN s.bookings >= 10 THEN 'HIGH' ELSE 'LOW' END || '_FREQ_' || CASE WHEN s.spend >= 2500000 THEN 'HIGH' ELSE 'LOW' END || '_SPEND' AS spending_segment,
                         CASE WHEN s.bookings <= 1 THEN 'ONE_TIME' WHEN s.bookings <= 4 THEN 'ANNUAL' ELSE 'FREQUENT' END AS flyer_frequency
@@ -57,40 +59,44 @@ VIEWS = {
                              o.o_custkey AS ffn_id, l.l_suppkey AS partner_id, CAST(l.l_shipdate AS DATE) AS activity_date, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS spend_amount
                       FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey""",
     # -- the metadata graph: id, label, database, name, display name, description, columns, primary key, source tables, key columns
-    "catalog": """SELECT * FROM (VALUES
-      ('core__region', 'Table', 'core', 'region', 'Region', 'Parts of the world', 'r_regionkey,r_name', 'r_regionkey', '', ''),
-      ('core__nation', 'Table', 'core', 'nation', 'Nation', 'Nations and their region', 'n_nationkey,n_name,n_regionkey', 'n_nationkey', '', ''),
-      ('core__customer', 'Table', 'core', 'customer', 'Customer', 'Customers with segment and balance', 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment', 'c_custkey', '', ''),
-      ('core__supplier', 'Table', 'core', 'supplier', 'Supplier', 'Suppliers of parts', 's_suppkey,s_name,s_nationkey,s_acctbal', 's_suppkey', '', ''),
-      ('core__part', 'Table', 'core', 'part', 'Part', 'Parts and prices', 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice', 'p_partkey', '', ''),
-      ('core__orders', 'Table', 'core', 'orders', 'Order', 'Orders of customers', 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority', 'o_orderkey', '', ''),
-      ('core__lineitem', 'Table', 'core', 'lineitem', 'Line item', 'Lines of orders', 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice', '', '', ''),
-      ('stream__events', 'Table', 'stream', 'events', 'Event', 'What users do, as a stream', 'event_id,ts,user_id,event_type,value,props', 'event_id', '', ''),
-      ('corpus__documents', 'Table', 'corpus', 'documents', 'Document', 'Texts with language and source', 'doc_id,text,lang,source,n_chars', 'doc_id', '', ''),
-      ('corpus__embeddings', 'Table', 'corpus', 'embeddings', 'Embedding', 'Vectors with a label', 'vec_id,embedding,label', 'vec_id', '', ''),
-      ('corpus__pages', 'Table', 'corpus', 'pages', 'Page', 'Raw web pages', 'page_id,url,html', 'page_id', '', ''),
-      ('corpus__benchmark', 'Table', 'corpus', 'benchmark', 'Benchmark', 'Items of a test', 'item_id,text', 'item_id', '', ''),
-      ('corpus__labels', 'Table', 'corpus', 'labels', 'Label', 'Quality and toxicity of documents', 'doc_id,quality,toxic', 'doc_id', '', ''),
-      ('corpus__conversations', 'Table', 'corpus', 'conversations', 'Conversation', 'Turns of conversations', 'conv_id,turn,role,text', '', '', ''),
-      ('core__c_customer', 'Concept', 'core', 'Customer', 'Customer', 'Who buys', '', '', 'customer,orders', 'c_custkey,o_custkey'),
-      ('core__c_order', 'Concept', 'core', 'Order', 'Order', 'What is bought', '', '', 'orders,lineitem', 'o_orderkey,l_orderkey'),
-      ('core__c_geography', 'Concept', 'core', 'Geography', 'Geography', 'Where customers and suppliers are', '', '', 'nation,region', 'n_nationkey'),
-      ('stream__c_activity', 'Concept', 'stream', 'User activity', 'User activity', 'What a customer does', '', '', 'events', 'user_id'),
-      ('stream__c_order', 'Concept', 'stream', 'Order', 'Order', 'Orders seen as events', '', '', 'events', 'event_id'),
-      ('corpus__c_text', 'Concept', 'corpus', 'Text', 'Text', 'Documents and pages', '', '', 'documents,pages,benchmark', 'doc_id,page_id'),
-      ('corpus__c_quality', 'Concept', 'corpus', 'Quality', 'Quality', 'How good a text is', '', '', 'labels', 'quality'),
-      ('corpus__c_lonely', 'Concept', 'corpus', 'Lonely', 'Lonely', 'Linked to nothing', '', '', 'nowhere', '')
-    ) t(id, label, database, name, display_name, description, columns_csv, primary_key, source_tables_csv, key_columns_csv)""",
-    "links": """SELECT * FROM (VALUES
-      ('core__nation', 'core__region', 'HAS_FK'), ('core__customer', 'core__nation', 'HAS_FK'), ('core__supplier', 'core__nation', 'HAS_FK'),
-      ('core__orders', 'core__customer', 'HAS_FK'), ('core__lineitem', 'core__orders', 'HAS_FK'), ('core__lineitem', 'core__part', 'HAS_FK'), ('core__lineitem', 'core__supplier', 'HAS_FK'),
-      ('core__customer', 'core__c_customer', 'RELATES_TO'), ('core__orders', 'core__c_customer', 'RELATES_TO'), ('core__orders', 'core__c_order', 'RELATES_TO'), ('core__lineitem', 'core__c_order', 'RELATES_TO'), ('core__nation', 'core__c_geography', 'CONTAINS_CONCEPT'),
-      ('stream__events', 'stream__c_activity', 'RELATES_TO'), ('stream__events', 'stream__c_order', 'CONTAINS_CONCEPT'), ('stream__events', 'stream__events', 'FOLLOWS'), ('stream__events', 'core__customer', 'DONE_BY'),
-      ('core__c_customer', 'stream__c_activity', 'RELATED'), ('core__c_order', 'stream__c_order', 'EQUIVALENT'), ('corpus__c_text', 'stream__c_activity', 'SAME_DOMAIN'),
-      ('corpus__documents', 'corpus__c_text', 'RELATES_TO'), ('corpus__pages', 'corpus__c_text', 'RELATES_TO'), ('corpus__labels', 'corpus__documents', 'HAS_FK'), ('corpus__labels', 'corpus__c_quality', 'RELATES_TO'), ('corpus__c_text', 'corpus__c_quality', 'COMPLEMENTS'), ('corpus__embeddings', 'corpus__documents', 'DERIVED_FROM')
-    ) t(src, dst, relationship)""",
+    # tables: regions, nations, customers and suppliers; concepts: parts, of which three have a name in three databases
+    "part_db": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'stream' ELSE 'corpus' END AS db,
+                         CASE p_partkey % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'stream' ELSE 'corpus' END || '__c' || CAST(p_partkey AS STRING) AS id FROM {part}""",
+    "supplier_db": """SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'stream' ELSE 'corpus' END AS db,
+                             CASE s_suppkey % 2 WHEN 0 THEN 'stream' ELSE 'corpus' END || '__t' || CAST(s_suppkey AS STRING) AS id FROM {supplier}""",
+    "catalog": """
+      SELECT 'core__r' || CAST(r_regionkey AS STRING) AS id, 'Table' AS label, 'core' AS database, r_name AS name, lower(r_name) AS display_name, 'A part of the world' AS description,
+             'r_regionkey,r_name,r_id' AS columns_csv, 'r_regionkey' AS primary_key, '' AS source_tables_csv, '' AS key_columns_csv FROM {region}
+      UNION ALL
+      SELECT 'core__n' || CAST(n_nationkey AS STRING), 'Table', 'core', n_name, 'Nation ' || CAST(n_nationkey AS STRING), 'Where buyers and sellers are',
+             'n_nationkey,n_name,n_regionkey', 'n_nationkey', '', '' FROM {nation}
+      UNION ALL
+      SELECT 'core__t' || CAST(c_custkey AS STRING), 'Table', 'core', c_name, c_mktsegment || ' ' || CAST(c_custkey AS STRING), 'Orders of ' || lower(c_mktsegment) || ' buyers',
+             'a' || CAST(c_custkey % 40 AS STRING) || '_id,b' || CAST(c_custkey % 7 AS STRING) || '_key,c_custkey,orderkey_' || CAST(c_custkey % 100 AS STRING),
+             CASE WHEN c_custkey % 2 = 0 THEN 'b' || CAST(c_custkey % 7 AS STRING) || '_key' ELSE '' END, '', '' FROM {customer}
+      UNION ALL
+      SELECT d.id, 'Table', d.db, s.s_name, 'Seller ' || CAST(s.s_suppkey AS STRING), 'Deliveries of a seller', 's_suppkey,a' || CAST(s.s_suppkey % 40 AS STRING) || '_id,s_when', 's_suppkey', '', ''
+      FROM {supplier} s JOIN {supplier_db} d ON d.s_suppkey = s.s_suppkey
+      UNION ALL
+      SELECT d.id, 'Concept', d.db, 'Topic ' || CAST(CAST(floor(p.p_partkey / 3) AS INT) AS STRING), p.p_type || ' ' || p.p_brand, p.p_name || ' of size ' || CAST(p.p_size AS STRING), '', '',
+             coalesce(c.c_name, 'nowhere') || ',' || coalesce(s.s_name, 'nowhere'), 'a' || CAST(p.p_partkey % 40 AS STRING) || '_id,orderkey_' || CAST(p.p_partkey % 100 AS STRING)
+      FROM {part} p JOIN {part_db} d ON d.p_partkey = p.p_partkey LEFT JOIN {customer} c ON c.c_custkey = p.p_partkey LEFT JOIN {supplier} s ON s.s_suppkey = p.p_partkey % 10
+      UNION ALL
+      SELECT 'corpus__x' || CAST(n_nationkey AS STRING), 'Concept', 'corpus', 'Lonely ' || CAST(n_nationkey AS STRING), 'Lonely', 'Linked to nothing', '', '', 'nowhere', '' FROM {nation}""",
+    "links": """SELECT DISTINCT src, dst, relationship FROM (
+      SELECT 'core__n' || CAST(n_nationkey AS STRING) AS src, 'core__r' || CAST(n_regionkey AS STRING) AS dst, 'HAS_FK' AS relationship FROM {nation}
+      UNION ALL SELECT 'core__t' || CAST(c_custkey AS STRING), 'core__n' || CAST(c_nationkey AS STRING), 'HAS_FK' FROM {customer}
+      UNION ALL SELECT d.id, 'core__n' || CAST(s.s_nationkey AS STRING), 'LOCATED_IN' FROM {supplier} s JOIN {supplier_db} d ON d.s_suppkey = s.s_suppkey
+      UNION ALL SELECT id, 'core__t' || CAST(s_suppkey AS STRING), 'DONE_BY' FROM {supplier_db}
+      UNION ALL SELECT id, id, 'FOLLOWS' FROM {supplier_db} WHERE s_suppkey % 4 = 0
+      UNION ALL SELECT 'core__t' || CAST(o.o_custkey AS STRING), d.id, CASE WHEN l.l_orderkey % 3 = 0 THEN 'CONTAINS_CONCEPT' ELSE 'RELATES_TO' END
+                FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {part_db} d ON d.p_partkey = l.l_partkey WHERE l.l_linenumber = 1
+      UNION ALL SELECT s.id, d.id, 'RELATES_TO' FROM {lineitem} l JOIN {supplier_db} s ON s.s_suppkey = l.l_suppkey JOIN {part_db} d ON d.p_partkey = l.l_partkey WHERE l.l_linenumber = 2
+      UNION ALL SELECT a.id, b.id, 'RELATED' FROM {part_db} a JOIN {part_db} b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 5 = 0
+      UNION ALL SELECT a.id, b.id, 'EQUIVALENT' FROM {part_db} a JOIN {part_db} b ON b.p_partkey = a.p_partkey + 2 WHERE a.p_partkey % 7 = 0) x""",
     # the same graph, somewhat changed, for comparisons
-    "links2": """SELECT src, dst, relationship FROM {links} WHERE relationship <> 'DERIVED_FROM' UNION ALL SELECT * FROM (VALUES ('corpus__conversations', 'corpus__c_text', 'RELATES_TO'), ('corpus__pages', 'corpus__documents', 'HAS_FK')) t(src, dst, relationship)""",
+    "links2": """SELECT src, dst, relationship FROM {links} WHERE relationship <> 'EQUIVALENT' AND src NOT LIKE 'core__n1%'
+      UNION ALL SELECT 'corpus__x' || CAST(n_nationkey AS STRING), 'core__n' || CAST(n_nationkey AS STRING), 'RELATES_TO' FROM {nation}""",
     "both_ways": "SELECT src, dst, relationship, true AS outgoing FROM {links} UNION ALL SELECT dst AS src, src AS dst, relationship, false AS outgoing FROM {links} WHERE src <> dst",
     # -- the instance graph: regions, nations, customers and suppliers
     "places": """SELECT 'r' || CAST(n_regionkey AS STRING) AS src, 'n' || CAST(n_nationkey AS STRING) AS dst, 'HAS_NATION' AS relationship FROM {nation}

@@ -29,17 +29,17 @@ def q25(t):
     return _graph(t).list_concepts().select("name", "database", "description", F.array_join("source_tables", ",").alias("source_tables"))
 
 
-_NEAR = "SELECT a.name AS concept, a.database AS concept_database, u.relationship, b.label AS n_label, b.name AS n_name, b.database AS n_database FROM {catalog} a JOIN {both_ways} u ON u.src = a.id JOIN {catalog} b ON b.id = u.dst WHERE a.label = 'Concept' AND lower(a.name) = 'order'"
+_NEAR = "SELECT a.name AS concept, a.database AS concept_database, u.relationship, b.label AS n_label, b.name AS n_name, b.database AS n_database FROM {catalog} a JOIN {both_ways} u ON u.src = a.id JOIN {catalog} b ON b.id = u.dst WHERE a.label = 'Concept' AND lower(a.name) = 'topic 12'"
 
 
 @query("q26_concept_links", _NEAR)
 def q26(t):
-    return _graph(t).concept_links("order").select("concept", "concept_database", "relationship", "n_label", "n_name", "n_database")
+    return _graph(t).concept_links("topic 12").select("concept", "concept_database", "relationship", "n_label", "n_name", "n_database")
 
 
-@query("q27_node_details", "SELECT a.name, a.database, u.relationship, u.outgoing, b.label AS n_label, b.name AS n_name, b.database AS n_database FROM {catalog} a JOIN {both_ways} u ON u.src = a.id JOIN {catalog} b ON b.id = u.dst WHERE a.name = 'events'")
+@query("q27_node_details", "SELECT a.name, a.database, u.relationship, u.outgoing, b.label AS n_label, b.name AS n_name, b.database AS n_database FROM {catalog} a JOIN {both_ways} u ON u.src = a.id JOIN {catalog} b ON b.id = u.dst WHERE a.name = 'Supplier#000000001'")
 def q27(t):
-    return _graph(t).node_details("events").select("name", "database", "relationship", "outgoing", "n_label", "n_name", "n_database")
+    return _graph(t).node_details("Supplier#000000001").select("name", "database", "relationship", "outgoing", "n_label", "n_name", "n_database")
 
 
 @query("q28_list_tables", "SELECT database, name, display_name, columns_csv AS columns FROM {catalog} WHERE label = 'Table' AND database = 'corpus'")
@@ -52,30 +52,40 @@ def q29(t):
     return _graph(t).cross_db_edges().select("s_database", "s_name", "relationship", "t_database", "t_name")
 
 
-@query("q30_search", "SELECT id, name, database, contains(lower(name), 'order') AS name_hit FROM {catalog} WHERE contains(lower(name), 'order') OR contains(lower(display_name), 'order') OR contains(lower(description), 'order') ORDER BY name_hit DESC, name, database LIMIT 20")
+_FOUND = "er#00000001"
+
+
+@query(
+    "q30_search",
+    f"""SELECT id, name, database, contains(lower(name), '{_FOUND}') AS name_hit FROM {{catalog}}
+    WHERE contains(lower(name), '{_FOUND}') OR contains(lower(display_name), '{_FOUND}') OR contains(lower(description), '{_FOUND}') ORDER BY name_hit DESC, name, database LIMIT 20""",
+)
 def q30(t):
-    return _graph(t).search("ORDER").select("id", "name", "database", "name_hit")
+    return _graph(t).search(_FOUND.upper()).select("id", "name", "database", "name_hit")
 
 
-_REACH = """WITH RECURSIVE reach AS (SELECT id, 0 AS depth FROM {catalog} WHERE name = 'events' UNION SELECT u.dst, r.depth + 1 FROM reach r JOIN {both_ways} u ON u.src = r.id WHERE r.depth < 2),
+_REACH = """WITH RECURSIVE reach AS (SELECT id, 0 AS depth FROM {catalog} WHERE name = 'Supplier#000000001' UNION SELECT u.dst, r.depth + 1 FROM reach r JOIN {both_ways} u ON u.src = r.id WHERE r.depth < 2),
   near AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)"""
 
 
 @query("q31_subgraph_2hop", _REACH + " SELECT 'node' AS kind, id AS a, depth::VARCHAR AS rel, '' AS b FROM near UNION ALL SELECT DISTINCT 'edge', src, relationship, dst FROM {links} WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)")
 def q31(t):
-    nodes, edges = _graph(t).subgraph("events", 2)
+    nodes, edges = _graph(t).subgraph("Supplier#000000001", 2)
     return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("depth").cast("string").alias("rel"), F.lit("").alias("b")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("relationship").alias("rel"), F.col("dst").alias("b")))
 
 
-@query(
-    "q32_shortest_path",
-    """WITH RECURSIVE w AS (SELECT id, [id] AS path FROM {catalog} WHERE name = 'region' UNION ALL SELECT u.dst, list_append(w.path, u.dst) FROM w JOIN (SELECT DISTINCT src, dst FROM {both_ways}) u ON u.src = w.id WHERE NOT list_contains(w.path, u.dst) AND len(w.path) < 9),
-    best AS (SELECT path FROM w WHERE id = (SELECT id FROM {catalog} WHERE name = 'labels') ORDER BY len(path), path LIMIT 1),
-    hops AS (SELECT unnest(range(1, len(path))) AS hop, path FROM best)
-    SELECT hop::BIGINT AS hop, path[hop] AS from_id, (SELECT min(relationship) FROM {both_ways} b WHERE b.src = path[hop] AND b.dst = path[hop + 1]) AS relationship, path[hop + 1] AS to_id FROM hops""",
-)
+def _path_sql(start: str, end: str, most: int) -> str:
+    """The least shortest path: distances to the end, and from the start the least next id that is one nearer."""
+    return f"""WITH RECURSIVE near AS (SELECT id, 0 AS d FROM {{catalog}} WHERE name = '{end}' UNION SELECT u.src, n.d + 1 FROM near n JOIN {{both_ways}} u ON u.dst = n.id WHERE n.d < {most}),
+    far AS (SELECT id, min(d) AS d FROM near GROUP BY id),
+    step AS (SELECT u.src, min(u.dst) AS dst FROM {{both_ways}} u JOIN far a ON a.id = u.src JOIN far b ON b.id = u.dst AND b.d = a.d - 1 GROUP BY u.src),
+    walk AS (SELECT 1 AS hop, s.src, s.dst FROM step s JOIN {{catalog}} c ON c.id = s.src AND c.name = '{start}' UNION ALL SELECT w.hop + 1, s.src, s.dst FROM walk w JOIN step s ON s.src = w.dst)
+    SELECT CAST(w.hop AS BIGINT) AS hop, w.src AS from_id, (SELECT min(relationship) FROM {{both_ways}} u WHERE u.src = w.src AND u.dst = w.dst) AS relationship, w.dst AS to_id FROM walk w"""
+
+
+@query("q32_shortest_path", _path_sql("Supplier#000000001", "NATION_7", 6))
 def q32(t):
-    return _graph(t).path_between("region", "labels").select(F.col("hop").cast("long").alias("hop"), "from_id", "relationship", "to_id")
+    return _graph(t).path_between("Supplier#000000001", "NATION_7").select(F.col("hop").cast("long").alias("hop"), "from_id", "relationship", "to_id")
 
 
 @query("q33_find_columns", "SELECT id, label, database, name, array_to_string(list_filter(string_split(CASE WHEN label = 'Table' THEN columns_csv ELSE key_columns_csv END, ','), lambda x: contains(x, 'orderkey')), ',') AS matched FROM {catalog} WHERE contains(CASE WHEN label = 'Table' THEN columns_csv ELSE key_columns_csv END, 'orderkey')")
@@ -106,12 +116,12 @@ def q35(t):
 
 @query(
     "q36_trace_cross_db",
-    """SELECT 'direct' AS kind, '' AS via, '' AS rel1, u.relationship AS rel2, b.name AS target FROM {catalog} a JOIN {both_ways} u ON u.src = a.id JOIN {catalog} b ON b.id = u.dst WHERE a.name = 'orders' AND b.database = 'stream'
+    """SELECT 'direct' AS kind, '' AS via, '' AS rel1, u.relationship AS rel2, b.name AS target FROM {catalog} a JOIN {both_ways} u ON u.src = a.id JOIN {catalog} b ON b.id = u.dst WHERE a.name = 'Customer#000000001' AND b.database = 'stream'
     UNION ALL (SELECT 'two_hop', m.name, u.relationship, w.relationship, b.name FROM {catalog} a JOIN {both_ways} u ON u.src = a.id JOIN {catalog} m ON m.id = u.dst JOIN {both_ways} w ON w.src = m.id JOIN {catalog} b ON b.id = w.dst
-    WHERE a.name = 'orders' AND m.id <> a.id AND b.id <> a.id AND b.id <> m.id AND b.database = 'stream' ORDER BY b.name, m.name, u.relationship, w.relationship LIMIT 50)""",
+    WHERE a.name = 'Customer#000000001' AND m.id <> a.id AND b.id <> a.id AND b.id <> m.id AND b.database = 'stream' ORDER BY b.name, m.name, u.relationship, w.relationship LIMIT 50)""",
 )
 def q36(t):
-    direct, two = _graph(t).trace_cross_db("orders", "stream")
+    direct, two = _graph(t).trace_cross_db("Customer#000000001", "stream")
     blank = F.lit("")
     return direct.select(F.lit("direct").alias("kind"), blank.alias("via"), blank.alias("rel1"), F.col("relationship").alias("rel2"), F.col("n_name").alias("target")).unionByName(two.select(F.lit("two_hop").alias("kind"), F.col("via_node").alias("via"), "rel1", "rel2", F.col("n_name").alias("target")))
 
@@ -229,12 +239,12 @@ def q49(t):
     return kinds.select(F.lit("database").alias("kind"), F.col("database").alias("name"), "tables", F.col("concepts").alias("n")).unionByName(rels.select(F.lit("relationship").alias("kind"), F.col("relationship").alias("name"), F.lit(0).cast("long").alias("tables"), "n"))
 
 
-_JK = ["documents", "labels", "benchmark", "orders"]
+_JK = ["Customer#000000008", "Customer#000000001", "Customer#000000041", "Supplier#000000001"]
 
 
 @query(
     "q50_join_key_inference",
-    """WITH pick AS (SELECT * FROM (VALUES (0, 'documents'), (1, 'labels'), (2, 'benchmark'), (3, 'orders')) p(ord, tn)),
+    """WITH pick AS (SELECT * FROM (VALUES (0, 'Customer#000000008'), (1, 'Customer#000000001'), (2, 'Customer#000000041'), (3, 'Supplier#000000001')) p(ord, tn)),
     cols AS (SELECT p.ord, c.name, c.primary_key, unnest(string_split(c.columns_csv, ',')) AS col, unnest(range(0, len(string_split(c.columns_csv, ',')))) AS pos FROM pick p JOIN {catalog} c ON c.name = p.tn AND c.label = 'Table'),
     k AS (SELECT *, CASE WHEN replace(col, '_', '') LIKE '%id' THEN 'identifier' WHEN col = primary_key THEN 'primary_key' ELSE 'data' END AS class FROM cols)
     SELECT col AS "column", string_agg(name, ',' ORDER BY ord) AS tables, arg_min(class, ord) AS column_type, CASE WHEN arg_min(class, ord) IN ('identifier', 'primary_key') THEN 'HIGH' ELSE 'LOW' END AS confidence FROM k GROUP BY col HAVING count(*) >= 2""",
@@ -245,7 +255,7 @@ def q50(t):
     return joinkeys.shared_columns(tables).select("column", F.array_join("tables", ",").alias("tables"), "column_type", "confidence")
 
 
-_KW = ["order", "customer", "text"]
+_KW = ["er#00000001", "topic 11", "ring"]
 _HIT = lambda c: " + ".join(f"contains(lower({c}), '{k}')::INT" for k in _KW)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,39 +63,33 @@ def q82(t):
     return df.select("id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)])
 
 
-def even_judge(pair: dict) -> dict | None:
-    """Links pairs with an even sum of ids; of ids that end in 0 the verdict can't be read."""
+def third_judge(pair: dict) -> dict | None:
+    """Links two pairs of three; of ids that end in 0 the verdict can't be read."""
     a, b = int(pair["left_id"]), int(pair["right_id"])
     if a % 10 == 0:
         return None
-    return {"decision": "link" if (a + b) % 4 == 1 else "REJECT", "relationship": "COMPLEMENTS" if b % 3 == 0 else ""}
-
-
-_PAIRS = "SELECT a.vec_id AS x, b.vec_id AS y FROM {embeddings} a JOIN {embeddings} b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1"
+    return {"decision": "link" if a % 3 else "REJECT", "relationship": "COMPLEMENTS" if b % 3 == 0 else ""}
 
 
-@query("q83_judged_pairs", f"""SELECT x::VARCHAR AS left_id, y::VARCHAR AS right_id, CASE WHEN y % 3 = 0 THEN 'COMPLEMENTS' ELSE 'RELATED' END AS relationship
-    FROM ({_PAIRS}) p WHERE x % 10 <> 0 AND (x + y) % 4 = 1""")
+@query("q83_judged_pairs", """SELECT CAST(a.vec_id AS VARCHAR) AS left_id, CAST(b.vec_id AS VARCHAR) AS right_id, CASE WHEN b.vec_id % 3 = 0 THEN 'COMPLEMENTS' ELSE 'RELATED' END AS relationship
+    FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 <> 0 AND a.vec_id % 3 <> 0""")
 def q83(t):
-    a = t.vec_a.select(F.col("id").alias("left_id"), (F.col("id").cast("long") + 1).cast("string").alias("right_id"))
-    pairs = a.join(t.vec_b.select(F.col("id").alias("right_id")), "right_id", "left_semi").withColumn("similarity", F.lit(0.5))
-    return unify.judged(pairs.select("left_id", "right_id", "similarity"), even_judge).select("left_id", "right_id", "relationship")
+    a, b = t.embeddings.select(F.col("vec_id").alias("a")), t.embeddings.select(F.col("vec_id").alias("b"))
+    pairs = a.join(b, F.col("b") == F.col("a") + 1).select(F.col("a").cast("string").alias("left_id"), F.col("b").cast("string").alias("right_id"), F.lit(0.5).alias("similarity"))
+    return unify.judged(pairs, third_judge).select("left_id", "right_id", "relationship")
 
 
-_THIRDS = "SELECT vec_id % 3 AS db, vec_id % 1000 AS id FROM {embeddings} WHERE vec_id < 300"
-
-
-@query("q84_unify_three_graphs", f"""WITH n AS ({_THIRDS})
+@query("q84_unify_graphs", """WITH n AS (SELECT vec_id % 12 AS db, vec_id // 12 AS id FROM {embeddings})
     SELECT 'nodes' AS kind, 'db' || db AS name, count(*) AS n FROM n GROUP BY db
     UNION ALL SELECT 'edges', 'NEXT', count(*) FROM n WHERE db < 2
-    UNION ALL SELECT 'edges', 'RELATED', count(*) FROM n a JOIN n b ON a.db < b.db AND a.id // 3 % 4 = b.id // 3 % 4""")
+    UNION ALL SELECT 'edges', 'RELATED', count(*) FROM n a JOIN n b ON a.db < b.db AND a.id % 4 = b.id % 4""")
 def q84(t):
-    base = t.embeddings.where("vec_id < 300").select(F.col("vec_id").alias("k"), F.concat(F.lit("db"), (F.col("vec_id") % 3).cast("string")).alias("database"))
-    base = base.withColumn("id", (F.col("k") % 1000).cast("string"))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(F.floor(F.col("k") / 3) % 4 == i, 1.0).otherwise(0.0))
+    base = t.embeddings.select((F.floor(F.col("vec_id") / 12)).alias("k"), F.concat(F.lit("db"), (F.col("vec_id") % 12).cast("string")).alias("database"))
+    base = base.withColumn("id", F.col("k").cast("string"))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(F.col("k") % 4 == i, 1.0).otherwise(0.0))
     vectors = base.select("database", "id", unit.alias("embedding"))
     graphs = []
-    for i in range(3):
+    for i in range(12):
         nodes = base.where(F.col("database") == f"db{i}").select("id", "database")
         edges = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("NEXT").alias("relationship"))
         graphs.append((f"db{i}", nodes, edges if i < 2 else edges.limit(0)))
@@ -104,13 +100,13 @@ def q84(t):
 
 # -- comparison of two graphs: one lacks a database, another table has a changed name
 
-_OTHER = "SELECT id, label, CASE WHEN id = 'core__part' THEN 'Article' ELSE display_name END AS display_name, CASE WHEN id = 'corpus__c_text' THEN 'Prose' ELSE name END AS name, database FROM {catalog} WHERE database <> 'stream'"
+_OTHER = "SELECT id, label, CASE WHEN id = 'core__t1' THEN 'Article' ELSE display_name END AS display_name, CASE WHEN id = 'corpus__c2' THEN 'Prose' ELSE name END AS name, database FROM {catalog} WHERE database <> 'stream'"
 
 
 def _two(t: Tables) -> dict[str, DataFrame]:
     a = _graph(t)
-    v = a.vertices.where("database <> 'stream'").withColumn("display_name", F.when(F.col("id") == "core__part", "Article").otherwise(F.col("display_name")))
-    v = v.withColumn("name", F.when(F.col("id") == "corpus__c_text", "Prose").otherwise(F.col("name")))
+    v = a.vertices.where("database <> 'stream'").withColumn("display_name", F.when(F.col("id") == "core__t1", "Article").otherwise(F.col("display_name")))
+    v = v.withColumn("name", F.when(F.col("id") == "corpus__c2", "Prose").otherwise(F.col("name")))
     return gr.parity_report(a, PropertyGraph(v, t.links2))
 
 
@@ -155,12 +151,11 @@ def q90(t):
     return ingest.with_email(named, "name", "crew.example").select("c_custkey", "email")
 
 
-@query("q91_dates", """SELECT o_orderkey, greatest(0, (2000 - year(d)) * 12 + 6 - month(d)) AS months, date_diff('year', d, DATE '2000-06-15') - (CASE WHEN strftime(d, '%m%d') > '0615' THEN 1 ELSE 0 END) AS age,
-    strftime(d + (o_orderkey % 40)::INT, '%Y-%m-%d') AS shifted FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM {orders} WHERE CAST(o_orderdate AS DATE) <= DATE '2000-06-15') x""")
+@query("q91_dates", """SELECT o_orderkey, greatest(0, (2030 - year(d)) * 12 + 6 - month(d)) AS months, date_diff('year', d, DATE '2030-06-15') - (CASE WHEN strftime(d, '%m%d') > '0615' THEN 1 ELSE 0 END) AS age,
+    strftime(d + (o_orderkey % 40)::INT, '%Y-%m-%d') AS shifted FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM {orders}) x""")
 def q91(t):
-    late = F.lit("2000-06-15").cast("date")
-    days = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).where(F.col("d") <= late)
-    return days.select(
+    late = F.lit("2030-06-15").cast("date")
+    return t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).select(
         "o_orderkey", fn.months_between_floor(late, F.col("d")).cast("long").alias("months"), fn.age_years(F.col("d"), late).cast("long").alias("age"),
         fn.shift_day(F.col("d"), (F.col("o_orderkey") % 40).cast("int")).alias("shifted"),
     )
@@ -199,9 +194,10 @@ def q94(t):
 _HOLDS = ("members", "bookings of a member", "legs of a trip", "legs back", "tier", "addons of a leg", "transactions of a member", "points", "fare share")
 
 
-@query("q95_synthetic_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', {200 if x == 'members' else 0})" for x in _HOLDS) + ") v(rule, n)")
+@query("q95_synthetic_rules", "SELECT 'members' AS rule, count(*) AS n FROM {customer}" + "".join(f" UNION ALL SELECT '{x}', 0" for x in _HOLDS[1:]))
 def q95(t):
-    made = synth.loyalty_tables(t.spark, members=200)
+    """Bookings and transactions are made up for every customer."""
+    made = synth.loyalty_tables(t.spark, t.customer.select(F.concat(F.lit("FF"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("ffn_id")))
     b, s, m = made["booking"], made["segment"], made["partner_txn"]
     per = lambda df, *k: df.groupBy(*k).agg(F.count("*").alias("c"))
     back = s.where("segment_id like '%-2'").select("booking_id", F.col("origin").alias("x"), F.col("destination").alias("y"))
@@ -250,12 +246,11 @@ def q98(t):
 
 
 @query("q99_table_info", """SELECT name AS table_name, 'Table: ' || name || chr(10) || 'Description: ' || description || chr(10) || 'Columns: ' || replace(columns_csv, ',', ', ') AS info
-    FROM {catalog} WHERE label = 'Table' AND database = 'core' UNION ALL SELECT 'missing', 'Table missing is not in core'""")
+    FROM {catalog} WHERE label = 'Table' AND database = 'core' UNION ALL SELECT DISTINCT 'missing', 'Table missing is not in core' FROM {region}""")
 def q99(t):
     tables = t.catalog.where("label = 'Table'").select("database", F.col("name").alias("table_name"), "description", _listed("columns_csv").alias("columns"))
     cat = catalog.Catalog({"core": tables.where("database = 'core'")})
-    names = [*(r[0] for r in cat.get_all_tables("core").select("table_name").collect()), "missing"]
-    return _rows(t, [(n, cat.table_info_text("core", n)) for n in names], "table_name string, info string")
+    return cat.table_infos("core").unionByName(_rows(t, [("missing", cat.table_info_text("core", "missing"))], "table_name string, info string"))
 
 
 @query("q100_typed_load", r"""SELECT event_id::INT AS iga, CASE WHEN regexp_full_match(trim(raw_number), '\d+\.?\d*') THEN TRY_CAST(trim(raw_number) AS DOUBLE) END AS score,
@@ -306,17 +301,17 @@ def q103(t):
     return kept.load().edges.select("src", "relationship", "dst")
 
 
-@query("q104_add_is_idempotent", "SELECT id, label FROM {catalog} UNION ALL SELECT 'core__new', 'Table'")
+@query("q104_add_is_idempotent", "SELECT id, label FROM {catalog} UNION ALL SELECT DISTINCT 'core__new', 'Table' FROM {region}")
 def q104(t):
     g = PropertyGraph(t.catalog.select("id", "label"), t.links)
-    new = _rows(t, [("core__new", "Table"), ("core__new", "Table"), ("core__part", "Concept")], "id string, label string")
-    link = _rows(t, [("core__new", "core__part", "HAS_FK")], "src string, dst string, relationship string")
+    new = _rows(t, [("core__new", "Table"), ("core__new", "Table"), ("core__t1", "Concept")], "id string, label string")
+    link = _rows(t, [("core__new", "core__t1", "HAS_FK")], "src string, dst string, relationship string")
     return store.add(store.add(g, new, link), new, link).vertices
 
 
-@query("q105_ghost_tables", "SELECT id, name NOT IN ('events', 'pages') AS is_physical, CASE WHEN name IN ('events', 'pages') THEN '[NO PHYSICAL TABLE] ' ELSE '' END || description AS description FROM {catalog}")
+@query("q105_ghost_tables", "SELECT id, name NOT IN ('Supplier#000000001', 'NATION_3') AS is_physical, CASE WHEN name IN ('Supplier#000000001', 'NATION_3') THEN '[NO PHYSICAL TABLE] ' ELSE '' END || description AS description FROM {catalog}")
 def q105(t):
-    ghost = F.col("name").isin("events", "pages")
+    ghost = F.col("name").isin("Supplier#000000001", "NATION_3")
     return store.mark_ghosts(store.mark_ghosts(t.catalog, ghost), ghost).select("id", "is_physical", "description")
 
 
@@ -326,10 +321,10 @@ def q106(t):
 
 
 @query("q107_member_documents", """SELECT b.booking_id::VARCHAR AS booking_id, upper(s.origin) || '_' || upper(s.destination) AS route_id, count(*) AS n, count(DISTINCT s.addon_id) AS addons
-    FROM {booking} b JOIN {segment} s ON s.booking_id = b.booking_id WHERE b.ffn_id % 5 = 0 GROUP BY ALL""")
+    FROM {booking} b JOIN {segment} s ON s.booking_id = b.booking_id GROUP BY ALL""")
 def q107(t):
     """Documents of members are made, and taken apart again."""
-    s = materialize(t.segment.where("ffn_id % 5 = 0"), "documents-segments")
+    s = materialize(t.segment, "documents-segments")
     none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
     seg = F.struct("segment_id", F.col("flight_date").cast("string").alias("flight_date"), F.lower("origin").alias("origin"), "destination", F.lit(False).alias("is_international"), F.array(F.col("addon_id").cast("string")).alias("addons"))
     booked = s.groupBy("ffn_id", "booking_id").agg(F.collect_list(seg).alias("segments"))
@@ -345,26 +340,30 @@ def q107(t):
 # -- guards, texts of models, display
 
 
-@query("q108_guarded_sessions", """SELECT * FROM (VALUES (1, 1, 'runs'), (1, 2, 'sequential query'), (2, 1, 'join keys were not asked for'), (3, 1, 'wrong join column'), (3, 2, 'runs'), (3, 3, 'join on name'), (4, 1, 'runs'), (4, 2, 'join keys were not asked for'))
-    v(session, step, verdict)""")
+_VERDICTS = ((0, 1, "runs"), (0, 2, "sequential query"), (1, 1, "join keys were not asked for"), (2, 1, "wrong join column"), (2, 2, "runs"), (2, 3, "join on name"), (3, 1, "runs"), (3, 2, "join keys were not asked for"))
+
+
+@query("q108_guarded_sessions", "SELECT n_nationkey AS session, step, verdict FROM {nation} JOIN (VALUES " + ", ".join(map(str, _VERDICTS)) + ") v(kind, step, verdict) ON n_nationkey % 4 = kind")
 def q108(t):
-    join = "select 1 from a join b on a.{0} = b.{0}"
-    sessions = {
-        1: (Tracker(), ["select * from a", "select DateOfJoining from b"]), 2: (Tracker(), [join.format("iga")]),
-        3: (Tracker(keys_asked=True, join_column="iga"), [join.format("id"), join.format("iga"), join.format("FullName")]),
-        4: (Tracker(), ["not sql at all", join.format("iga")]),
-    }
+    """A session for each nation, with queries that name it."""
     out = []
-    for k, (tracker, texts) in sessions.items():
-        for i, text in enumerate(texts):
-            out.append((k, i + 1, (tracker.check(t.spark, "core", text) or {"error": "runs"})["error"]))
+    for r in t.nation.select("n_nationkey", "n_name").collect():
+        join = f"select 1 from {r.n_name} a join other b on a.{{0}} = b.{{0}}"
+        tracker, texts = (
+            (Tracker(), [f"select * from {r.n_name}", "select DateOfJoining from b"]), (Tracker(), [join.format("iga")]),
+            (Tracker(keys_asked=True, join_column="iga"), [join.format("id"), join.format("iga"), join.format("FullName")]), (Tracker(), [f"not {r.n_name} at all", join.format("iga")]),
+        )[r.n_nationkey % 4]
+        out += [(r.n_nationkey, i + 1, (tracker.check(t.spark, "core", text) or {"error": "runs"})["error"]) for i, text in enumerate(texts)]
     return _rows(t, out, "session int, step int, verdict string")
 
 
-_TEXTS = {"SELECT 1": True, "WITH x AS (SELECT 1) SELECT * FROM x": True, "DROP TABLE a": False, "INSERT INTO a VALUES (1)": False, "SELECT updated_at FROM a": True, "TRUNCATE TABLE a": False, "VALUES (1)": True, "SET a = 1": False}
+_TEXTS = {
+    "SELECT * FROM #": True, "WITH x AS (SELECT * FROM #) SELECT count(*) FROM x": True, "DROP TABLE #": False, "INSERT INTO # VALUES (1)": False, "SELECT updated_at FROM #": True, "TRUNCATE TABLE #": False,
+    "VALUES (1)": True, "SET a = 1": False, "SELECT * FROM (SELECT TRANSFORM(a) USING ''cat'' AS (x) FROM #) y": False, "SELECT a, b, reflect(''java.lang.System'', ''getenv'') FROM #": False, "SELECT * FROM csv.`/#`": False,
+}
 
 
-@query("q109_read_only", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _TEXTS.items()) + ") v(statement, allowed)")
+@query("q109_read_only", "SELECT replace(text, '#', n_name) AS statement, allowed FROM {nation}, (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, v in _TEXTS.items()) + ") v(text, allowed)")
 def q109(t):
     def allowed(text: str) -> bool:
         try:
@@ -373,7 +372,8 @@ def q109(t):
             return False
         return True
 
-    return _rows(t, [(x, allowed(x)) for x in _TEXTS], "statement string, allowed boolean")
+    texts = [x.replace("''", "'").replace("#", r.n_name) for r in t.nation.select("n_name").collect() for x in _TEXTS]
+    return _rows(t, [(x, allowed(x)) for x in texts], "statement string, allowed boolean")
 
 
 @query("q110_shown_names", """SELECT id, coalesce(CASE WHEN trim(display_name) <> '' AND length(display_name) % 2 = 0 THEN display_name END, CASE WHEN database <> 'core' THEN name END, CASE WHEN description <> '' THEN substr(description, 1, 40) END, substr(id, 1, 35)) AS shown
@@ -383,9 +383,13 @@ def q110(t):
     return hints.named(v).select("id", "shown")
 
 
-@query("q111_result_kinds", "SELECT * FROM (VALUES ('links', true), ('catalog', true), ('nation', false), ('events', false)) v(name, is_graph)")
+_RESULTS = ("links", "catalog", "nation", "events")
+
+
+@query("q111_result_kinds", " UNION ALL ".join(f"SELECT '{n}' AS name, {str(n in _RESULTS[:2]).lower()} AS is_graph, count(*) AS n FROM {{{n}}}" for n in _RESULTS))
 def q111(t):
-    return _rows(t, [(n, hints.is_graph(getattr(t, n))) for n in ("links", "catalog", "nation", "events")], "name string, is_graph boolean")
+    kinds = [getattr(t, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), F.lit(hints.is_graph(getattr(t, n))).alias("is_graph"), "n") for n in _RESULTS]
+    return reduce(DataFrame.unionByName, kinds)
 
 
 @query("q112_path_elements", "SELECT 'vertex' AS kind, 'n' || n_nationkey AS a, n_name AS b FROM {nation} UNION ALL SELECT 'vertex', 'r' || r_regionkey, r_name FROM {region} UNION ALL SELECT 'edge', 'r' || n_regionkey, 'n' || n_nationkey FROM {nation}")
@@ -402,12 +406,15 @@ def q113(t):
     return hints.labels(t.catalog)
 
 
-@query("q114_shown_graph", "SELECT DISTINCT 'node' AS kind, name AS a, database AS b FROM {catalog} WHERE label = 'Table'")
+@query("q114_shown_graph", """SELECT DISTINCT 'node' AS kind, name AS a, database AS b, label AS c FROM {catalog} WHERE id IN (SELECT src FROM {links}) OR id IN (SELECT dst FROM {links})
+    UNION ALL SELECT 'edge', a, b, c FROM (SELECT DISTINCT s.name AS a, s.database, d.name AS b, d.database AS other, e.relationship AS c FROM {links} e JOIN {catalog} s ON s.id = e.src JOIN {catalog} d ON d.id = e.dst) x""")
 def q114(t):
-    from graphloom.operators.agent import rows_of
-
-    shown = hints.graph_hints("list_tables", 2 * rows_of(_graph(t).list_tables()))
-    return _rows(t, [("node", n["name"], n["database"]) for n in shown["nodes"]], "kind string, a string, b string")
+    """What is shown of all links, each named twice."""
+    g = _graph(t)
+    ends = g.edges.join(g._as("s", "label", "name", "database"), F.col("src") == F.col("s_id")).join(g._as("n", "label", "name", "database"), F.col("dst") == F.col("n_id"))
+    rows = ends.select(F.col("s_label").alias("label"), F.col("s_name").alias("name"), F.col("s_database").alias("database"), "relationship", "n_label", "n_name", "n_database")
+    nodes, edges = hints.shown("node_details", rows.unionAll(rows))
+    return nodes.select(F.lit("node").alias("kind"), F.col("name").alias("a"), F.col("database").alias("b"), F.col("type").alias("c")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("label").alias("c")))
 
 
 @query("q115_minimal_nodes", "SELECT database || '__' || name AS id, 'Table' AS label, description FROM {catalog} WHERE label = 'Table'")
@@ -416,21 +423,22 @@ def q115(t):
     return builder.minimal_nodes(tables).select("id", "label", "description")
 
 
-@query("q116_model_steps", "SELECT n_nationkey AS k, 'I look at ' || n_name AS thought, 'look' AS action, n_name AS table_name FROM {nation}")
+@query("q116_model_steps", "SELECT c_custkey AS k, 'I look at ' || c_name AS thought, 'look' AS action, c_name AS table_name FROM {customer}")
 def q116(t):
     """Texts of a model, cut off at the end, are read."""
-    texts = t.nation.select("n_nationkey", F.concat(F.lit("Thought: I look at "), "n_name", F.lit('\nAction: look\nAction Input: ```json\n{"table": "'), "n_name", F.lit('", "columns": ["a", "b"')).alias("text"))
-    out = []
-    for r in texts.collect():
-        step = builder.parse_step(r["text"])
-        out.append((r["n_nationkey"], step["thought"], step["action"], (step["input"] or {}).get("table")))
-    return _rows(t, out, "k int, thought string, action string, table_name string")
+    texts = t.customer.select(F.col("c_custkey").alias("k"), F.concat(F.lit("Thought: I look at "), "c_name", F.lit('\nAction: look\nAction Input: ```json\n{"table": "'), "c_name", F.lit('", "columns": ["a", "b"')).alias("text"))
+    return builder.parse_steps(texts).select("k", "thought", "action", F.get_json_object("input", "$.table").alias("table_name"))
 
 
-@query("q117_policy_weights", "SELECT * FROM (VALUES ('availability', 0.5), ('bmi', 0.1), ('nps', 0.1), ('coaching', 0.05)) v(component, weight)")
+@query("q117_policy_weights", "SELECT r_name AS policy, component, weight FROM {region}, (VALUES ('availability', NULL), ('bmi', 0.1), ('nps', 0.1), ('coaching', 0.05)) v(component, fixed), LATERAL (SELECT CAST(coalesce(fixed, r_regionkey / 10) AS DOUBLE) AS weight) w")
 def q117(t):
+    """A policy for each region."""
     from graphloom.operators.scoring import policy_parameters
 
-    v = t.region.where("r_regionkey < 2").select(F.lit("Policy").alias("label"), F.when(F.col("r_regionkey") == 0, "crew").otherwise("other").alias("name"), F.lit('{"availability": {"weight": 0.5}}').alias("parameters"))
-    p = policy_parameters(v, "crew")
-    return _rows(t, [(c, float(p[c]["weight"])) for c in ("availability", "bmi", "nps", "coaching")], "component string, weight double")
+    weight = F.format_string('{"availability": {"weight": %.1f}}', F.col("r_regionkey") / 10)
+    v = t.region.select(F.lit("Policy").alias("label"), F.col("r_name").alias("name"), weight.alias("parameters"))
+    out = []
+    for (name,) in t.region.select("r_name").collect():
+        p = policy_parameters(v, name)
+        out += [(name, c, float(p[c]["weight"])) for c in ("availability", "bmi", "nps", "coaching")]
+    return _rows(t, out, "policy string, component string, weight double")

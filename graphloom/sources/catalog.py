@@ -90,9 +90,15 @@ class Catalog:
             raise ValueError(f"unknown database {database}")
         return self.tables[database]
 
+    def table_infos(self, database: str) -> DataFrame:
+        """(table_name, info): each table's catalog row as text."""
+        df = self.get_all_tables(database)
+        titles = {"table_name": "Table", "description": "Description", "columns": "Columns", "primary_keys": "Primary keys", "row_count": "Rows", "relationship_text": "Relationships"}
+        value = lambda c: F.concat_ws(", ", c) if c in ("columns", "primary_keys") else F.col(c).cast("string")
+        lines = [F.concat(F.lit(f"{title}: "), value(c)) for c, title in titles.items() if c in df.columns]
+        return df.select("table_name", F.concat_ws("\n", *lines).alias("info"))
+
     def table_info_text(self, database: str, table: str) -> str:
         """A table's catalog row as text; says so if there is none."""
-        df = self.get_all_tables(database).where(F.col("table_name") == table)
-        text = [F.concat(F.lit(f"{title}: "), F.col(c).cast("string") if c not in ("columns", "primary_keys") else F.concat_ws(", ", c)) for title, c in (("Table", "table_name"), ("Description", "description"), ("Columns", "columns"), ("Primary keys", "primary_keys"), ("Rows", "row_count"), ("Relationships", "relationship_text")) if c in df.columns]
-        row = df.select(F.concat_ws("\n", *text).alias("t")).limit(1).collect()
-        return row[0]["t"] if row else f"Table {table} is not in {database}"
+        row = self.table_infos(database).where(F.col("table_name") == table).limit(1).collect()
+        return row[0]["info"] if row else f"Table {table} is not in {database}"

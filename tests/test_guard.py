@@ -112,6 +112,7 @@ QUERIES = [
     "SELECT updated_at FROM (SELECT id AS updated_at FROM things) WHERE updated_at <> 1",
     "SELECT '${' || 'x' AS plain FROM things".replace("${", "$"),
     "FROM things SELECT max(id) AS m",
+    "SELECT id % 2, count(*) AS n FROM things GROUP BY 1 ORDER BY 2 DESC",
     f"SELECT {WIDE} FROM things",
 ]
 

@@ -217,9 +217,8 @@ def test_agent_loop(graph, spark):
 def test_model_text():
     assert builder.parse_json('```json\n{"a": [1, 2,') == {"a": [1, 2]} and builder.parse_json("no") is None
     assert builder.parse_step('Thought: look\nAction: search\nAction Input: {"k": "v"}') == {"thought": "look", "action": "search", "input": {"k": "v"}}
-    assert builder.is_transient("HTTP 429") and builder.container_name("HR Data!") == "hr-data"
-    nodes, rejected = builder.enrich([{"table_name": "a"}, {"table_name": "b"}], lambda t: {"reject": True} if t["table_name"] == "b" else {"description": "d"})
-    assert nodes[0]["description"] == "d" and rejected[0]["table"] == "b"
+    assert builder.is_transient("HTTP 429") and builder.container_name("HR-Data x") == "hr_data_x"
+    assert builder.is_transient(ConnectionResetError("connection reset by peer")) and builder.is_transient("rate limit") and not builder.is_transient("can't generate a name")
 
 
 def test_relationship_text(spark):
@@ -421,3 +420,26 @@ def test_scratch_tables(spark):
     remove(spark, made)
     with pytest.raises(Exception, match="(?i)not exist|FAILED_READ|No such"):
         spark.read.parquet(made[0]).count()
+
+
+def test_shown_tables_are_the_hints(spark):
+    rows = [
+        ("node_details", [{"name": "a", "label": "Concept", "database": "x", "relationship": "R", "n_name": "b", "n_label": "Table", "n_database": None}] * 2 + [{"name": "a", "label": "Concept", "database": "x", "relationship": "R", "n_name": "", "n_label": None, "n_database": "y"}]),
+        ("concept_links", [{"concept": "a", "concept_database": "x", "relationship": "R", "n_name": "b", "n_label": "Policy", "n_database": "y"}]),
+        ("list_concepts", [{"name": "a", "database": "x"}, {"name": None, "database": "x"}]), ("search", [{"name": "a", "label": "Concept", "database": "x"}, {"name": "b", "label": "Other", "database": None}]),
+        ("subgraph", [{"src": "a", "dst": "b", "relationship": "R"}]), ("shared_concepts", [{"name": "a", "databases": ["x", "y"]}]),
+        ("trace_cross_db", [{"via_node": "m", "via_db": "x", "rel2": "R", "n_name": "b", "n_label": "Table", "n_database": "y"}, {"via_node": None, "via_db": None, "rel2": None, "n_name": "c", "n_label": "Concept", "n_database": "y"}]),
+        ("find_join_keys", [{"column": "id", "tables": ["a", "b", "c"]}, {"column": "id", "tables": ["a"]}]), ("schema", [{"kind": "x"}]),
+    ]
+    for tool, given in rows:
+        kinds = ", ".join(f"{k} {'array<string>' if k in ('databases', 'tables') else 'string'}" for k in given[0])
+        nodes, edges = hints.shown(tool, spark.createDataFrame([tuple(r.values()) for r in given], kinds))
+        want = hints.graph_hints(tool, given)
+        order = lambda xs: sorted(tuple(sorted(x.items())) for x in xs)
+        assert order(r.asDict() for r in nodes.collect()) == order(want["nodes"]), tool
+        assert order(r.asDict() for r in edges.collect()) == order(want["edges"]), tool
+
+
+def test_steps_of_a_table(spark):
+    texts = spark.createDataFrame([(1, 'Thought: t\nAction: look\nAction Input: {"a": 1'), (2, None), (3, "nothing")], "k int, text string")
+    assert [(r.k, r.thought, r.action, r.input) for r in builder.parse_steps(texts).orderBy("k").collect()] == [(1, "t", "look", '{"a": 1}'), (2, None, None, None), (3, None, None, None)]
