@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import date
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -443,3 +444,64 @@ def test_shown_tables_are_the_hints(spark):
 def test_steps_of_a_table(spark):
     texts = spark.createDataFrame([(1, 'Thought: t\nAction: look\nAction Input: {"a": 1'), (2, None), (3, "nothing")], "k int, text string")
     assert [(r.k, r.thought, r.action, r.input) for r in builder.parse_steps(texts).orderBy("k").collect()] == [(1, "t", "look", '{"a": 1}'), (2, None, None, None), (3, None, None, None)]
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame(rows, "g string, id long, v array<double>")
+
+
+@pytest.mark.parametrize("least", [0.4, 0.7, 0.95])
+def test_pruned_pairs_are_all_pairs(spark, least):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 24))
+    points = np.concatenate([centres[k % 12] * rng.uniform(0.5, 2) + rng.normal(size=24) * rng.choice([0.05, 0.1, 0.3, 1.5], p=[0.5, 0.3, 0.15, 0.05]) for k in range(900)]).reshape(900, 24)
+    points[40:80] = points[3]  # many equal vectors
+    rows = [(f"db{k % 5}", k, None if k % 97 == 0 else ([0.0] * 24 if k % 89 == 0 else points[k][: 24 - (k % 3)].tolist())) for k in range(900)]
+    blocks = unify.Blocks(_vectors(spark, rows), "g", "id", "v", block=40)
+    got = {(r.left_group, r.left_id, r.right_group, r.right_id): r.similarity for r in blocks.pairs(least).collect()}
+    full = np.zeros((900, 24))
+    for k, (_, _, v) in enumerate(rows):
+        full[k, : len(v or ())] = v or ()
+    unit = full / np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-300)
+    sims = unit @ unit.T
+    want = {(rows[i][0], i, rows[j][0], j) for i, j in np.argwhere(sims >= least).tolist() if rows[i][0] < rows[j][0]}
+    assert set(got) == want and all(abs(s - sims[k[1], k[3]]) < 1e-9 for k, s in got.items())
+    told = blocks.counts(least)
+    assert told["blocks"] >= 20 and told["compared"] <= told["pairs"] and (least < 0.9 or told["compared"] < told["pairs"] // 2), told
+
+
+def test_two_sides_with_a_threshold(spark):
+    a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id int, embedding array<float>")
+    b = spark.createDataFrame([("x", [2.0, 0.1]), ("y", [0.0, 0.0])], "id string, embedding array<float>")
+    assert [(r.left_id, r.right_id) for r in unify.similarities(a, b, at_least=0.5).collect()] == [(1, "x")]
+    assert unify.similarities(a.limit(0), b, at_least=0.5).collect() == [] and unify.similarities(a.limit(0), b.limit(0), at_least=0.5).collect() == []
+
+
+def test_fifty_databases_in_one_plan(spark):
+    graphs, vectors = [], []
+    for k in range(50):
+        nodes = spark.createDataFrame([("c", "concept"), (f"db{k:02d}__t", "x")], "id string, type string")
+        edges = spark.createDataFrame([("c", f"db{k:02d}__t", "HAS"), ("c", "elsewhere", "HAS")], "src string, dst string, relationship string")
+        graphs.append((f"db{k:02d}", nodes, edges))
+        vectors.append((f"db{k:02d}", "c", [1.0, k % 2 * 10.0]))
+    nodes, edges = unify.unify(graphs, spark.createDataFrame(vectors, "database string, id string, embedding array<float>"))
+    got = edges.collect()
+    assert nodes.count() == 100 and len([r for r in got if r.relationship == "HAS"]) == 100
+    assert {(r.src, r.dst) for r in got if r.relationship == "HAS" and r.src.startswith("db07")} == {("db07__c", "db07__t"), ("db07__c", "elsewhere")}
+    linked = {(r.src, r.dst) for r in got if r.method == "embedding"}
+    assert linked == {(f"db{i:02d}__c", f"db{j:02d}__c") for i in range(50) for j in range(i + 1, 50) if i % 2 == j % 2}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") < 12
+
+
+def test_hot_ids_are_reduced_before_the_shuffle(spark):
+    rows = spark.range(200_000).select(F.lit("hot").alias("id"), F.col("id").alias("seq"), F.concat(F.lit("n"), "id").alias("name")).repartition(8)
+    out = unify.keep_last(rows)
+    assert [(r.seq, r.name) for r in out.collect()] == [(199_999, "n199999")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan
+    ties = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", None, None)], "id string, seq long, name string")
+    assert len({unify.keep_last(ties.repartition(k)).where("id = 'a'").first().name for k in (1, 2, 3)}) == 1 and unify.keep_last(ties).count() == 2
+    edges = spark.createDataFrame([("a", "b", "x y", 3), ("a", "b", "X-Y", 1), ("a", "zz", "x", 2)], "src string, dst string, relationship string, seq long")
+    kept, dangling = unify.clean_edges(edges, ties)
+    assert [(r.src, r.relationship, r.dst, r.seq) for r in kept.collect()] == [("a", "X_Y", "b", 1)] and dangling.count() == 1
