@@ -1,10 +1,12 @@
-"""Structured Streaming over event files: an extension to the reference's push of events."""
+"""Structured Streaming: windowed counts over event files, and pushes of tables and concepts into a graph store as they come."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.store import GraphStore, push
+
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -21,3 +23,18 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Writes what a stream has by now as Parquet, and ends; a restart goes on from the checkpoint."""
     return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def push_stream(rows: DataFrame, store: GraphStore, checkpoint: str, name: str = "push"):
+    """Adds what a stream brings to a store, once: rows have ``vertex`` and ``edge``, structs of which one is null.
+
+    A batch's number is committed together with its rows.  A batch that was
+    committed, and that Spark runs again because it was killed before it noted
+    so, changes nothing.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        vertices, edges = (batch.where(F.col(kind).isNotNull()).select(f"{kind}.*") for kind in ("vertex", "edge"))
+        push(store, vertices, edges, (name, number))
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
