@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -273,15 +274,21 @@ def q101(t):
 @query("q102_graph_documents", """SELECT 'node' AS kind, database || '__' || name AS id, CASE WHEN label = 'Concept' THEN 'Concept' ELSE 'Table' END AS label, replace(key_columns_csv, ',', ', ') AS keys FROM {catalog}
     UNION ALL SELECT 'edge', src, relationship, dst FROM {links}""")
 def q102(t):
-    meta = [f.split(":")[0] for f in store.GRAPH_SCHEMA.split("metadata:struct<")[1].split(">")[0].split(",")]
+    """Documents of some hundred nodes and edges each are written, and read as streams."""
+    from graphloom.scratch import shared_dir
+
     given = {"key_columns": F.to_json(_listed("key_columns_csv")), "columns": F.to_json(_listed("columns_csv"))}
     node = F.struct(
         F.concat_ws("__", "database", "name").alias("id"), F.col("name").alias("label"), F.when(F.col("label") == "Concept", "concept").otherwise("coreEntity").alias("type"),
-        "description", "database", F.struct(*[given.get(m, F.lit(None).cast("string")).alias(m) for m in meta]).alias("metadata"),
+        "description", F.struct(*[c.alias(m) for m, c in given.items()]).alias("metadata"),
     )
-    link = F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "relationship", F.lit("").alias("description"), F.lit("").alias("source_tables"))
-    docs = t.catalog.agg(F.collect_list(node).alias("nodes")).crossJoin(t.links.agg(F.collect_list(link).alias("edges"))).withColumn("database", F.lit("core"))
-    nodes, edges = store.nodes_of(docs), store.edges_of(docs)
+    link = F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "relationship")
+    part = lambda *c: F.pmod(F.xxhash64(*c), F.lit(32)).alias("part")
+    nodes = t.catalog.groupBy("database", part("id")).agg(F.collect_list(node).alias("nodes"))
+    docs = nodes.unionByName(t.links.groupBy(F.lit("core").alias("database"), part("src", "dst")).agg(F.collect_list(link).alias("edges")), allowMissingColumns=True)
+    path = f"{shared_dir(t.spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    docs.select(F.to_json(F.struct("nodes", "edges", "database"))).write.text(path)
+    nodes, edges = store.nodes_in(t.spark, path, pattern="part-*"), store.edges_in(t.spark, path, pattern="part-*")
     return nodes.select(F.lit("node").alias("kind"), "id", "label", F.array_join("key_columns", ", ").alias("keys")).unionByName(
         edges.select(F.lit("edge").alias("kind"), F.col("src").alias("id"), F.col("relationship").alias("label"), F.col("dst").alias("keys"))
     )
@@ -292,9 +299,8 @@ def q103(t):
     """Each database saved by itself, in turn, into one store."""
     from graphloom.scratch import shared_dir
 
-    import uuid
-
     kept, g = store.GraphStore(t.spark, f"{shared_dir(t.spark).rstrip('/')}/graph-{uuid.uuid4().hex}"), _graph(t)
+    g = PropertyGraph(materialize(g.vertices, "all-vertices"), materialize(g.edges, "all-edges"))
     for db in ("core", "stream", "corpus"):
         own = g.vertices.where(F.col("database") == db)
         kept.save(PropertyGraph(own, g.edges.join(own.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "relationship")))

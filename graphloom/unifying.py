@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators import unify
 from graphloom.operators.graph import PropertyGraph
-from graphloom.sources.store import GraphStore, edges_of, nodes_of, read_graphs
+from graphloom.sources.store import GraphStore, edges_in, nodes_in
 
 
 def named_callable(name: str | None) -> Callable | None:
@@ -26,10 +26,10 @@ def named_callable(name: str | None) -> Callable | None:
     return getattr(importlib.import_module(module), attribute)
 
 
-def load_only(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def load_only(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and dangling edges of the documents as they are, cleaned and with derived edges."""
-    nodes = unify.keep_last(nodes_of(docs))
-    kept, dangling = unify.clean_edges(edges_of(docs), nodes)
+    nodes = unify.keep_last(nodes)
+    kept, dangling = unify.clean_edges(edges.drop("database"), nodes)
     made = unify.derived_edges(nodes.where("label = 'Concept'"), nodes.where("label = 'Table'"), kept)
     return nodes, kept.unionByName(made, allowMissingColumns=True), dangling
 
@@ -38,8 +38,8 @@ def run(spark: SparkSession, graphs: str, store: str, *, high: float = unify.HIG
     """Stores the unified graph as the whole of ``store``; gives its summary and the dangling edges, which aren't stored."""
     if not 0 <= low <= high:
         raise ValueError(f"thresholds must be 0 <= low <= high, not {low} and {high}")
-    docs = read_graphs(spark, graphs)
-    nodes, edges, dangling = load_only(docs) if only_load else unify.unify_documents(docs, embedder or unify.letter_vectors, high, low, judge)
+    nodes, edges = nodes_in(spark, graphs, by_document=not only_load), edges_in(spark, graphs)
+    nodes, edges, dangling = load_only(nodes, edges) if only_load else unify.unify_documents(nodes, edges, embedder or unify.letter_vectors, high, low, judge)
     kept = GraphStore(spark, store)
     kept.save(PropertyGraph(nodes, edges), whole=True)
     graph = kept.load()
