@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import contains_ci
+from graphloom.operators.trigrams import TrigramIndex
 from graphloom.scratch import materialize
 
 MAX_SUBGRAPH_DEPTH = 4
 MAX_PATH_DEPTH = 10
 SEARCH_LIMIT = 20
 TWO_HOP_LIMIT = 50
+#: Ids of a frontier that are sent to the tasks, at most (some MB); larger ones are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -38,8 +41,8 @@ def column_names(c: Column) -> Column:
 
 
 class PropertyGraph:
-    def __init__(self, vertices: DataFrame, edges: DataFrame):
-        self.vertices, self.edges = vertices, edges
+    def __init__(self, vertices: DataFrame, edges: DataFrame, index: TrigramIndex | None = None):
+        self.vertices, self.edges, self.index = vertices, edges, index
 
     @property
     def both_ways(self) -> DataFrame:
@@ -94,6 +97,15 @@ class PropertyGraph:
         out = self.edges.join(self._as("s", "name", "database"), F.col("src") == F.col("s_id")).join(self._as("t", "name", "database"), F.col("dst") == F.col("t_id"))
         return out.where("s_database <> t_database").orderBy("s_database", "t_database", "relationship", "s_name", "t_name")
 
+    def indexed(self, path: str) -> PropertyGraph:
+        """The graph with a stored index of trigrams, which ``search`` and ``find_columns`` then read instead of all vertices."""
+        fields = [c for c in ("name", "display_name", "description", "columns", "key_columns") if c in self.vertices.columns]
+        return PropertyGraph(self.vertices, self.edges, TrigramIndex.build(self.vertices, path, fields))
+
+    def narrowed(self, keywords: list[str], fields: list[str]) -> DataFrame:
+        """The vertices that may hold a keyword: by the index if there is one, or else all."""
+        return self.vertices if self.index is None else self.index.narrowed(self.vertices, keywords, fields)
+
     def search(self, keyword: str, limit: int = SEARCH_LIMIT, database: str | None = None, reference_order: bool = False) -> DataFrame:
         """Substring search in name, display name and description, in any case; names that hit come first.
 
@@ -102,54 +114,90 @@ class PropertyGraph:
         hit = contains_ci(F.col("name"), keyword)
         any_ = hit | contains_ci(F.col("display_name"), keyword) | contains_ci(F.col("description"), keyword)
         own = F.lit(True) if database is None else F.col("database") == database
-        out = self.vertices.where(any_ if reference_order else any_ & own).withColumn("name_hit", hit)
+        out = self.narrowed([keyword], ["name", "display_name", "description"]).where(any_ if reference_order else any_ & own).withColumn("name_hit", hit)
         out = out.orderBy(F.when(F.col("name_hit"), 0).otherwise(1), "name", "database").limit(limit)
         return out.where(own) if reference_order else out
 
+    def _near(self, front: DataFrame, size: int) -> DataFrame:
+        """(id, _from) of the neighbours of a frontier; a small one is sent to the tasks that read the edges, which then aren't shuffled."""
+        sent = F.broadcast(front) if size <= MOST_SENT else front
+        ends = self.edges.select("src", "dst")
+        out = ends.join(sent.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"), F.col("src").alias("_from"))
+        back = ends.join(sent.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), F.col("dst").alias("_from"))
+        return out.unionByName(back)
+
+    def _level(self, levels: list[DataFrame], size: int) -> tuple[DataFrame, int]:
+        """The next level of a search and its size: neighbours of the last that are in none; written, else the plan would double with every hop."""
+        seen = reduce(DataFrame.unionByName, levels)
+        new = materialize(self._near(levels[-1], size).select("id").distinct().join(seen, "id", "left_anti"), "search-level")
+        return new, new.count()
+
     def _reach(self, roots: DataFrame, depth: int) -> DataFrame:
         """(id, depth) of what can be reached in at most ``depth`` hops, each at its least depth."""
-        hop = self.both_ways.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
-        seen = roots.select("id", F.lit(0).alias("depth"))
-        last = seen
-        for d in range(1, depth + 1):
-            near = last.join(hop, F.col("id") == F.col("_src")).select(F.col("_dst").alias("id")).distinct()
-            # each level is written: else the plan would double with every hop
-            last = materialize(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), "reach-level")
-            seen = seen.unionByName(last)
-        return seen
+        levels = [materialize(roots.select("id").distinct(), "search-level")]
+        size = levels[0].count()
+        while len(levels) <= depth and size:
+            level, size = self._level(levels, size)
+            levels.append(level)
+        return reduce(DataFrame.unionByName, [x.withColumn("depth", F.lit(d)) for d, x in enumerate(levels)])
 
     def subgraph(self, name: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
         """Nodes within ``depth`` hops (4 at most), the root first, and the edges between them in their own direction."""
         reached = self._reach(self.vertices.where(F.col("name") == name).select("id"), min(depth, MAX_SUBGRAPH_DEPTH))
         nodes = self.vertices.join(reached, "id").orderBy("depth", "name", "database")
         ids = reached.select("id")
+        ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
         edges = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         return nodes, edges.select("src", "relationship", "dst").distinct()
 
     def path_between(self, start: str, end: str, max_depth: int = MAX_PATH_DEPTH) -> DataFrame:
         """One shortest path as hops (hop, from_id, relationship, to_id); of several the least by ids, no row if there is none."""
-        hop = self.both_ways.groupBy(F.col("src").alias("_src"), F.col("dst").alias("_dst")).agg(F.min("relationship").alias("_rel"))
-        goal = self.vertices.where(F.col("name") == end).select("id", F.lit(True).alias("_hit"))
-        last = self.vertices.where(F.col("name") == start).select("id", F.array("id").alias("path"), F.array().cast("array<string>").alias("rels"))
-        seen = last.select("id")
-        for d in range(min(max_depth, MAX_PATH_DEPTH) + 1):
-            # each level is written: else the plan would double with every hop
-            last = materialize(last.join(goal, "id", "left"), "path-level")
-            found = last.where("_hit")
-            state = last.agg(F.count("*").alias("n"), F.count("_hit").alias("hits")).first()
-            if d == max_depth or state["hits"] or not state["n"]:
-                break
-            seen = last.select("id") if d == 0 else seen.unionByName(last.select("id"))
-            step = last.join(hop, F.col("id") == F.col("_src")).select(F.col("_dst").alias("id"), F.concat("path", F.array("_dst")).alias("path"), F.concat("rels", F.array("_rel")).alias("rels"))
-            last = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("path", "rels")).alias("p")).select("id", "p.path", "p.rels")
-        best = found.orderBy("path").limit(1)
-        return best.select(F.posexplode("rels").alias("hop", "relationship"), "path").select((F.col("hop") + 1).alias("hop"), F.expr("path[hop]").alias("from_id"), "relationship", F.expr("path[hop + 1]").alias("to_id"))
+        return self.search_path(start, end, max_depth)[0]
+
+    def search_path(self, start: str, end: str, max_depth: int = MAX_PATH_DEPTH) -> tuple[DataFrame, dict[str, int]]:
+        """The path of ``path_between``, and how many vertices were reached from either end.
+
+        The search grows from both ends, each time from the one whose frontier has
+        fewer edges, until the frontiers meet.  Levels hold ids only; the path is then
+        walked from the start, at each hop to the least id that is on a shortest way.
+        """
+        named = lambda name: materialize(self.vertices.where(F.col("name") == name).select("id").distinct(), "search-level")
+        sides = [[named(start)], [named(end)]]
+        sizes = [[x[0].count()] for x in sides]
+        meet = materialize(sides[0][0].join(sides[1][0], "id", "left_semi"), "search-meet")
+        most = min(max_depth, MAX_PATH_DEPTH)
+        costs = [self._near(x[0], n[0]).count() for x, n in zip(sides, sizes, strict=True)]
+        while sizes[0][-1] and sizes[1][-1] and meet.isEmpty() and len(sides[0]) + len(sides[1]) - 2 < most:
+            k = 0 if costs[0] <= costs[1] else 1
+            level, n = self._level(sides[k], sizes[k][-1])
+            sides[k].append(level)
+            sizes[k].append(n)
+            costs[k] = self._near(level, n).count()
+            meet = materialize(sides[0][-1].join(sides[1][-1], "id", "left_semi"), "search-meet")
+        told = {"from_start": sum(sizes[0]), "from_end": sum(sizes[1])}
+        kind = self.vertices.schema["id"].dataType.simpleString()
+        schema = f"hop int, from_id {kind}, relationship string, to_id {kind}"
+        if meet.isEmpty():
+            return self.vertices.sparkSession.createDataFrame([], schema), told
+        # of the levels from the start only what leads to where the frontiers met
+        on_way = [meet]
+        for level in reversed(sides[0][:-1]):
+            on_way.insert(0, materialize(level.join(self._near(on_way[0], on_way[0].count()).select("id").distinct(), "id", "left_semi"), "search-way"))
+        way = on_way + sides[1][-2::-1]
+        at = way[0].agg(F.min("id").alias("id")).first()["id"]
+        hops = []
+        for hop, level in enumerate(way[1:], 1):
+            own = self.edges.where(F.col("src") == at).select(F.col("dst").alias("id"), "relationship").unionByName(self.edges.where(F.col("dst") == at).select(F.col("src").alias("id"), "relationship"))
+            step = own.join(level, "id", "left_semi").agg(F.min(F.struct("id")).alias("to"), F.min(F.struct("id", "relationship")).alias("both")).first()
+            hops.append((hop, at, step["both"]["relationship"], step["to"]["id"]))
+            at = step["to"]["id"]
+        return self.vertices.sparkSession.createDataFrame(hops, schema), told
 
     def find_columns(self, column: str) -> DataFrame:
         """Tables and concepts with a column whose name has the text in it."""
         hit = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: contains_ci(x, column))
         matched = F.when(F.col("label") == "Table", hit("columns")).when(F.col("label") == "Concept", hit("key_columns"))
-        return self.vertices.withColumn("matched", matched).where(F.size("matched") > 0).select("id", "label", "database", "name", "matched").orderBy("database", "name")
+        return self.narrowed([column], ["columns", "key_columns"]).withColumn("matched", matched).where(F.size("matched") > 0).select("id", "label", "database", "name", "matched").orderBy("database", "name")
 
     def shared_concepts(self) -> tuple[DataFrame, DataFrame]:
         """Names used by concepts of several databases, and concepts linked to concepts of other databases."""

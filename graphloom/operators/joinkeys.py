@@ -82,7 +82,7 @@ def semantic_search(graph: PropertyGraph, keywords: list[str], top: int = 15, pe
     hit = lambda c: reduce(lambda a, b: a + b, [F.when(contains_ci(F.col(c), k), 1).otherwise(0) for k in keywords])
     if per_keyword is None:
         any_ = reduce(lambda a, b: a | b, [contains_ci(F.col(c), k) for k in keywords for c in ("name", "display_name", "description")])
-        found = graph.vertices.where(any_)
+        found = graph.narrowed(keywords, ["name", "display_name", "description"]).where(any_)
     else:
         found = reduce(DataFrame.unionByName, [graph.search(k, per_keyword).drop("name_hit") for k in keywords])
     scored = found.withColumn("relevance_score", (hit("description") * 2 + hit("label") + hit("name") * 3).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import safe_date, safe_float, safe_int
-from graphloom.operators.profile import describe, top_values, wide_union
+from graphloom.operators.profile import QUARTILES, RANK_ERROR, describe, top_values, wide_union
 from graphloom.operators.sqlguard import Databases
 from graphloom.operators.synth import numbered
 from graphloom.plans.registry import query
@@ -94,10 +94,21 @@ def q69(t):
     return relationship_edges(rows).select("src_table", "dst_table", F.array_join("dst_columns", ",").alias("dst_columns"))
 
 
+_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
+
+
 def _described(c: str) -> str:
-    return f"SELECT '{c}' AS column_name, count({c}) AS n, count(*) - count({c}) AS nulls, round(avg({c}), 6) AS mean, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most FROM {{lineitem}}"
+    return f"""SELECT '{c}' AS column_name, count({c}) AS n, count(*) - count({c}) AS nulls, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS deviation, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most,
+      true AS lower_fits, true AS median_fits, true AS upper_fits FROM {{lineitem}}"""
 
 
-@query("q75_describe", " UNION ALL ".join(map(_described, ("l_quantity", "l_discount", "l_linenumber"))))
+@query("q75_describe", " UNION ALL ".join(map(_described, _NUMBERS)))
 def q75(t):
-    return describe(t.lineitem, ["l_quantity", "l_discount", "l_linenumber"]).withColumn("mean", F.round("mean", 6))
+    """A profile in one pass; the sketches' quartiles are held against the rows: their ranks are within the error that is stated."""
+    told = describe(t.lineitem, list(_NUMBERS))
+    each = t.lineitem.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in _NUMBERS])).alias("e")).select("e.*")
+    names = ("lower", "median", "upper")
+    ranks = each.join(F.broadcast(told.select("column_name", *names)), "column_name").groupBy("column_name").agg(
+        *[f(F.avg((F.col("x") < F.col(c)).cast("int")), F.avg((F.col("x") <= F.col(c)).cast("int")), q).alias(f"{c}_fits") for c, q, f in ((c, q, lambda below, upto, q: (below <= q + RANK_ERROR) & (upto >= q - RANK_ERROR)) for c, q in zip(names, QUARTILES, strict=True))]
+    )
+    return told.drop(*names).join(ranks, "column_name").withColumns({"mean": F.round("mean", 4), "deviation": F.round("deviation", 4)})

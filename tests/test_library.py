@@ -350,7 +350,7 @@ def test_numbering(spark):
 def test_profile(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 3.0), (None, 5.0)], "k string, v double")
     assert [(r.value, r.n) for r in top_values(df, ["k"], 2).orderBy(F.desc("n"), "value").collect()][0] == ("a", 2)
-    assert describe(df, ["v"]).first().asDict() == {"column_name": "v", "n": 3, "nulls": 1, "mean": 3.0, "least": 1.0, "most": 5.0}
+    assert describe(df, ["v"]).first().asDict() == {"column_name": "v", "n": 3, "nulls": 1, "mean": 3.0, "deviation": 2.0, "least": 1.0, "lower": 1.0, "median": 3.0, "upper": 5.0, "most": 5.0}
     assert set(wide_union([df.select("k"), df.select("v")]).columns) == {"k", "v"}
 
 
@@ -505,3 +505,59 @@ def test_hot_ids_are_reduced_before_the_shuffle(spark):
     edges = spark.createDataFrame([("a", "b", "x y", 3), ("a", "b", "X-Y", 1), ("a", "zz", "x", 2)], "src string, dst string, relationship string, seq long")
     kept, dangling = unify.clean_edges(edges, ties)
     assert [(r.src, r.relationship, r.dst, r.seq) for r in kept.collect()] == [("a", "X_Y", "b", 1)] and dangling.count() == 1
+
+
+def test_quartiles_within_their_error(spark):
+    rows = spark.range(60_000).select((F.pow(F.rand(3), 3) * 1000).alias("x"), F.lit(None).cast("double").alias("none"), (F.col("id") % 3).alias("few"))
+    rows = rows.withColumn("x", F.when(F.col("few") == 0, F.col("x") + 1e-9))
+    told = {r.column_name: r for r in describe(rows, ["x", "none", "few"]).collect()}
+    exact = rows.select("x").where("x is not null").toPandas()["x"].to_numpy()
+    for q, c in ((0.25, "lower"), (0.5, "median"), (0.75, "upper")):
+        assert abs((exact <= told["x"][c]).mean() - q) <= 0.01
+    assert abs(told["x"].deviation - exact.std(ddof=1)) < 1e-6 and told["x"].nulls == 40_000
+    assert told["none"].median is None and told["none"].n == 0 and (told["few"].lower, told["few"].median, told["few"].upper) == (0.0, 1.0, 2.0)
+
+
+def test_paths_from_both_ends(spark):
+    """Two hubs with many neighbours: a search from one end would reach all of them."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(3):
+        ids = [f"v{k:02d}" for k in range(14)]
+        edges = [(rng.choice(ids), rng.choice(ids), rng.choice("xyz")) for _ in range(16)]
+        v = spark.createDataFrame([(i, i[:2] if i in ("v03",) else i) for i in ids], "id string, name string")
+        g = gr.PropertyGraph(v, spark.createDataFrame(edges, "src string, dst string, relationship string").coalesce(1))
+        near = {i: sorted({b for a, b, _ in edges if a == i} | {a for a, b, _ in edges if b == i}) for i in ids}
+        paths, want = [["v00"]], None
+        for _ in range(11):
+            hit = sorted(p for p in paths if p[-1] == "v13")
+            if hit:
+                want = hit[0]
+                break
+            paths = [[*p, n] for p in paths for n in near[p[-1]] if n not in p]
+        got = g.path_between("v00", "v13").orderBy("hop").collect()
+        rel = lambda a, b: min(r for x, y, r in edges if {x, y} == {a, b})  # noqa: B023, E731
+        assert [(r.hop, r.from_id, r.relationship, r.to_id) for r in got] == ([] if want is None else [(k + 1, a, rel(a, b), b) for k, (a, b) in enumerate(zip(want, want[1:], strict=False))])
+    star = [("a", "hub", "r"), ("end", "last", "r"), ("last", "m", "r"), ("m", "hub", "r"), *((f"leaf{k}", "hub", "r") for k in range(500))]
+    g = gr.PropertyGraph(spark.createDataFrame([(x, x) for x in {a for e in star for a in e[:2]}], "id string, name string"), spark.createDataFrame(star, "src string, dst string, relationship string"))
+    path, told = g.search_path("a", "end")
+    assert [r.to_id for r in path.orderBy("hop").collect()] == ["hub", "m", "last", "end"] and sum(told.values()) < 12
+    assert g.path_between("a", "a").count() == 0 and g.path_between("a", "nobody").count() == 0 and g.path_between("a", "end", 3).count() == 0
+
+
+def test_index_of_trigrams(spark, tmp_path):
+    words = ["Red Widget", "blue RING", "ring road", "ri", None, "", "İstanbul ring", "a\u0301bc", "wid get"]
+    v = spark.createDataFrame([(str(k), "Table" if k % 2 else "Concept", "db", w, w and w[::-1], f"about {w}", ["Order_Key", w or ""] if k else None, [w, None]) for k, w in enumerate(words)], "id string, label string, database string, name string, display_name string, description string, columns array<string>, key_columns array<string>")
+    plain = gr.PropertyGraph(v, spark.createDataFrame([], "src string, dst string, relationship string"))
+    own = plain.indexed(str(tmp_path / "grams"))
+    for word in ("RING", "wid get", "ri", "key_c", "a\u0301b"):
+        assert own.search(word).collect() == plain.search(word).collect(), word
+    assert own.find_columns("gnir").collect() == plain.find_columns("gnir").collect() and own.find_columns("Der_k").count() == 8
+    assert joinkeys.semantic_search(own, ["ring", "red"], per_keyword=None).collect() == joinkeys.semantic_search(plain, ["ring", "red"], per_keyword=None).collect()
+    # the folders of other trigrams aren't read
+    postings = own.index.postings("ring")
+    assert "PartitionFilters: [bucket" in postings._jdf.queryExecution().executedPlan().toString() and {r.gram for r in postings.collect()} == {"rin", "ing"} and len(own.index.wanted("ring")) == 2
+    assert own.index.candidates("ri") is None and own.index.candidates("zzz").isEmpty()
+    # candidates hold all trigrams, and are verified: "wid get" isn't "widget"
+    assert {r.id for r in own.search("widget").collect()} == {"0"}
