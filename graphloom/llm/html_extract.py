@@ -193,7 +193,8 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                 while pop() != tag:
                     pass
         elif tag in _RAW:
-            if not attrs.endswith("/"):
+            # a slash closes foreign elements only
+            if not (tag == "svg" and attrs.endswith("/")):
                 end = _RAW_END[tag].search(page, at)
                 jump = end.end() if end else len(page)
         else:
@@ -206,7 +207,7 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                         pass
             elif tag in ("br", "img"):
                 pieces.append(" ")
-            if tag not in _VOID and not attrs.endswith("/"):
+            if tag not in _VOID and not (attrs.endswith("/") and (tag == "math" or open_.get("math"))):
                 own = _is_template(tag, attrs, article)
                 if own and not template and tag not in _BLOCK:
                     flush()

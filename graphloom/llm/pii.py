@@ -66,7 +66,8 @@ WIDE = {
     "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9.+-])[3-6][0-9]{3}([\x20-]?)[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9+.,/-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?0?[1-9][0-9]{1,3}\)?[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9.,/-][0-9]|[0-9])",
-    "secret": rf"(?<=[=:]\x20?[\x22\x27]?)(?<![{_KEY}-])[{_KEY}.-]{{8,256}}+={{0,2}}+(?![{_KEY}.-])|(?<![{_KEY}.-])(?=[A-Za-z+/_-]*+[0-9])[{_KEY}-]{{20,256}}+={{0,2}}+(?![{_KEY}-])",
+    # tokens of dotted parts come first, whole
+    "secret": rf"(?<![{_KEY}.-])eyJ[{_KEY}-]{{8,}}+(?:\.[{_KEY}-]{{4,}}+){{1,4}}+(?![{_KEY}-])|(?<=[=:]\x20?[\x22\x27]?)(?<![{_KEY}-])[{_KEY}.-]{{8,256}}+={{0,2}}+(?![{_KEY}.-])|(?<![{_KEY}.-])(?=[A-Za-z+/_-]*+[0-9])[{_KEY}-]{{20,256}}+={{0,2}}+(?![{_KEY}-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
 }
 #: What a text must have for a kind's patterns to be tried.
@@ -241,7 +242,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED, pieces: tuple[str, ...] = ())
         elif kind == "secret":
             hexes = drawn("0123456789abcdef", pick(32, 40, 64))
             mixed = drawn(lower + upper + ten, int(rng.integers(20, 64)))
-            known = pick(f"AKIA{drawn(upper + ten, 16)}", f"ghp_{drawn(lower + upper + ten, 36)}", f"sk-{drawn(lower + upper + ten, 32)}", f"xoxb-{digits(11)}-{drawn(lower + ten, 24)}", f"eyJ{drawn(lower + upper + ten, 40)}")
+            known = pick(f"AKIA{drawn(upper + ten, 16)}", f"ghp_{drawn(lower + upper + ten, 36)}", f"sk-{drawn(lower + upper + ten, 32)}", f"xoxb-{digits(11)}-{drawn(lower + ten, 24)}", ".".join((f"eyJ{drawn(lower + upper + ten, 33)}", f"eyJ{drawn(lower + upper + ten + '-_', 60)}", drawn(lower + upper + ten + "-_", 43))))
             if yes:
                 joint = pick(' = "', '="', ": ", ' = "', "=", ": '")
                 before = pick(*says[kind]) if joint else before

@@ -247,3 +247,28 @@ def test_codes_query(spark, data):
     got = vector_codes.op13_vector_codes(spark, data).collect()
     assert sorted((r.vec_id, r.code, r.error, r.label_error) for r in got) == sorted((i, c, e, t) for i, c, e, _, t in with_sums(want))
     assert {r.codebooks_sha256 for r in got} == {digest}
+
+
+# -- faults of earlier operators
+
+
+def test_a_slash_closes_no_html_element():
+    from graphloom.llm import html_extract
+
+    text = lambda page: [x for x, template, _ in html_extract.blocks(page) if not template]
+    assert text('<p>one</p><script src=/a/b/>alert("leak")</script><style/>p { }</style><textarea/>typed</textarea><p>two</p>') == ["one", "two"]
+    assert text("<nav/>Home About</nav><p>text</p>") == ["text"]
+    assert text("<p>a<br/>b<img src=x />c</p><svg/><p>d <math><mi/>x</math> e</p>") == ["a b c", "d x e"]
+
+
+def test_dotted_tokens_are_one_secret(spark):
+    from graphloom.llm import pii
+
+    token = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    texts = [f"Authorization: Bearer {token}", f"we sent {token}. Then", f'token = "{token}"', f"the cookie {token}, of yesterday", "plain words and eyJ alone"]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), pii.fit(spark))
+    spans = {r.doc_id: r.s for r in found.select("doc_id", F.expr(pii.written("spans")).alias("s")).collect()}
+    for k, text in enumerate(texts[:4]):
+        start = text.index("eyJ")
+        assert f"secret:{start}:{start + len(token)}" in spans[k].split(","), (text, spans[k])
+    assert spans[4] == ""
