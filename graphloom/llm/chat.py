@@ -13,7 +13,8 @@ a long conversation is formatted by many tasks.  A block's effect on the machine
 is a table, from each state it may begin in to the state it ends in and the
 first turn that was out of order; tables are put together in order, as each row
 would have been.  The output is pieces of some ``PIECE_CHARS``, which are read
-one after the other and never gathered.  A digest over a whole conversation is
+one after the other and never gathered; those of a conversation of one block by the
+task that made them.  A digest over a whole conversation is
 sequential by its definition: pieces of one conversation are hashed by one task,
 as a stream.
 
@@ -39,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import fresh, table
 
 #: Turns that are formatted by one task, and the code points after which a piece ends.
 BLOCK, PIECE_CHARS = 256, 1 << 20
+#: Ids of long conversations that are broadcast, at most; more are joined by a shuffle.
+MOST_LONG = 100_000
 START = "start"
 MOVES = {
     (START, "system"): "system", (START, "user"): "user", ("system", "user"): "user", ("user", "assistant"): "assistant",
@@ -232,10 +235,15 @@ class _Reader:
 _READ = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "first_bad_turn": pa.int64(), "complete": pa.bool_()}
 
 
-def read_pieces(pieces: DataFrame, template: Template = Template(), *, conv_col: str = "conv_id") -> DataFrame:
-    """What is read back from each conversation's pieces: counts and digests of its turns and of what is learnt from, its first turn out of order (from 1; null if none), and whether it ends as it should."""
+def read_pieces(pieces: DataFrame, template: Template = Template(), *, conv_col: str = "conv_id", dealt: bool = False) -> DataFrame:
+    """What is read back from each conversation's pieces: counts and digests of its turns and of what is learnt from, its first turn out of order (from 1; null if none), and whether it ends as it should.
+
+    With ``dealt`` the pieces of a conversation are together and in order already, as
+    ``format_turns`` gives those of a conversation of one block.
+    """
     kind = pieces.schema[conv_col].dataType
-    dealt = pieces.select(F.col(conv_col).alias("conv"), "block", "piece", "formatted", "loss_spans", "ends", "bad").repartition("conv").sortWithinPartitions("conv", "block", "piece").drop("block", "piece")
+    own = pieces.select(F.col(conv_col).alias("conv"), "block", "piece", "formatted", "loss_spans", "ends", "bad")
+    own = (own if dealt else own.repartition("conv").sortWithinPartitions("conv", "block", "piece")).drop("block", "piece")
 
     def run(batches):
         done: list[tuple] = []
@@ -266,7 +274,22 @@ def read_pieces(pieces: DataFrame, template: Template = Template(), *, conv_col:
 
     to_arrow = to_arrow_type(kind)
     fields = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, first_bad_turn long, complete boolean"
-    return dealt.mapInArrow(run, f"conv {kind.simpleString()}, {fields}").withColumnRenamed("conv", conv_col)
+    return own.mapInArrow(run, f"conv {kind.simpleString()}, {fields}").withColumnRenamed("conv", conv_col)
+
+
+def read_back(turns: DataFrame, template: Template = Template(), *, conv_col: str = "conv_id", turn_col: str = "turn", block: int = BLOCK, **cols) -> DataFrame:
+    """``read_pieces`` of ``format_turns``; conversations of one block are read by the task that formats them, and only longer ones are dealt again."""
+    at = F.coalesce(F.floor(F.col(turn_col) / block), F.lit(-1))
+    own = fresh(turns, "_long")
+    several = turns.groupBy(F.col(conv_col).alias(own)).agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least < most").select(own)
+    n = several.count()
+    kinds = {"conv_col": conv_col, "turn_col": turn_col, "block": block, **cols}
+    if not n:
+        return read_pieces(format_turns(turns, template, **kinds), template, conv_col=conv_col, dealt=True)
+    known = F.broadcast(several) if n <= MOST_LONG else several
+    part = lambda how: turns.join(known, turns[f"`{conv_col}`"].eqNullSafe(F.col(own)), how)
+    short = read_pieces(format_turns(part("left_anti"), template, **kinds), template, conv_col=conv_col, dealt=True)
+    return short.unionByName(read_pieces(format_turns(part("left_semi"), template, **kinds), template, conv_col=conv_col))
 
 
 #: A conversation whose texts look like control strings.
@@ -277,7 +300,7 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read back from all ``conversations``, and one that holds control strings, after they were formatted."""
     own = spark.createDataFrame([(TRAP[0], k, role, TRAP[1]) for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return read_pieces(format_turns(turns))
+    return read_back(turns)
 
 
 OP11_SQL = r"""

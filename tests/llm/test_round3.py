@@ -57,13 +57,15 @@ def odd_turns():
 
 
 @pytest.mark.parametrize(("block", "most"), [(256, 1 << 20), (4, 50)])
-def test_chat_is_read_back(spark, block, most):
+def test_chat_is_read_back(spark, monkeypatch, block, most):
     rows = odd_turns()
     df = spark.createDataFrame(rows, TURNS).withColumns({"block": F.lit(1), "piece": F.lit("x"), "formatted": F.lit(None).cast("string")})
     pieces = chat.format_turns(df, block=block, piece_chars=most)
     assert chat_of(chat.read_pieces(pieces)) == brute_chat(rows)
     sizes = pieces.select(F.max("n_turns").alias("n")).first()
     assert sizes.n <= block
+    monkeypatch.setattr(chat, "MOST_LONG", 0 if block == 4 else 10)
+    assert chat_of(chat.read_back(df, block=block, piece_chars=most)) == brute_chat(rows)
 
 
 def test_chat_output_shows_no_control_string_of_a_text(spark):
